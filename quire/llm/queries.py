@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import mix, split
+from pyspark.sql import functions as F
+
+from quire.llm import lookalike, mix, pairs, split, truncation
 from quire.session import cut, table
 
 
@@ -31,5 +33,37 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split.split_oversized(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_pieces": p9_pieces}
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.defects(table(spark, d, "mmlb_example_results"), "result_id", "question", "predicted_answer", "ground_truth", "status")
+
+
+def _judged(spark: SparkSession, d: str) -> DataFrame:
+    runs = table(spark, d, "mmlb_example_results").select("result_id", "run_source", "question", "prediction").distinct()
+    return truncation.with_verdict(runs, "prediction", "run_source", "question")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _judged(spark, d).filter("cut").select("result_id").distinct()
+
+
+def p2_sources(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.source_report(_judged(spark, d), "run_source")
+
+
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    blocks = table(spark, d, "ocr_blocks").select(F.lit("ocr_blocks").alias("tbl"), "doc_id", F.col("block_id").cast("bigint").alias("row_no"), "text")
+    samples = table(spark, d, "samples").select(F.lit("samples").alias("tbl"), "doc_id", F.col("sample_idx").cast("bigint").alias("row_no"),
+                                                F.col("question").alias("text"))
+    return blocks.unionByName(samples)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.changed(_texts(spark, d), "text").select("tbl", "doc_id", "row_no").distinct()
+
+
+def p3_canonical(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.canonical(_texts(spark, d), "text")
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_sources": p2_sources, "p3_found": p3_found, "p3_canonical": p3_canonical, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_pieces": p9_pieces}
 SQL: dict[str, str] = {}
