@@ -9,6 +9,7 @@ deterministic member, which is joined back.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column, DataFrame
@@ -106,6 +107,27 @@ def composed(text: Column) -> Column:
 _COMMON = "\u0300\u0301\u0302\u0303\u0304\u0306\u0307\u0308\u0309\u030A\u030B\u030C\u0323\u0327\u0328"
 
 
+_FOLD = {ord(a): b for a, b in zip(LOOKALIKE, LOOKALIKE_AS)}
+_LATIN_LETTER = re.compile(r"[A-Za-z]")
+_OTHER_LETTER = re.compile(r"[бвгджзийклмнптфцчшщъыьэюяё]", re.I)
+_RUN = re.compile(r"([^\W_]+)")
+
+
+def one_form(text: str) -> str:
+    """The consistent form of a text inside Python kernels, for comparisons only: also
+    folds compatibility characters that ``canonical`` keeps."""
+    if text.isascii():
+        return text
+    text = "".join(c for c in unicodedata.normalize("NFKC", text) if unicodedata.category(c) != "Cf")
+    if not _LATIN_LETTER.search(text):
+        return text
+    out = []
+    for w in _RUN.split(text):
+        latin = w if w.isascii() else w.translate(_FOLD)
+        out.append(latin if latin is w or _LATIN_LETTER.search(latin) and not _OTHER_LETTER.search(latin) else w)
+    return "".join(out)
+
+
 def canonical(df: DataFrame, text: str, out: str = "canonical") -> DataFrame:
     """``df`` with the one consistent form of ``text`` in ``out`` (replaced if there).
 

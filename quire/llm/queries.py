@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from quire.llm import lookalike, mix, pairs, split, truncation
+from quire.llm import lookalike, mix, pairs, scan_noise, split, truncation
 from quire.session import cut, table
 
 
@@ -65,5 +65,13 @@ def p3_canonical(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.canonical(_texts(spark, d), "text")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_sources": p2_sources, "p3_found": p3_found, "p3_canonical": p3_canonical, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_pieces": p9_pieces}
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return scan_noise.noise(table(spark, d, "ocr_blocks")).selectExpr("doc_id", "cast(block_id as bigint) block_id", "noise")
+
+
+def p5_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return scan_noise.repaired(table(spark, d, "ocr_blocks"))
+
+
+QUERIES = {"p5_found": p5_found, "p5_repaired": p5_repaired, "p1_found": p1_found, "p2_found": p2_found, "p2_sources": p2_sources, "p3_found": p3_found, "p3_canonical": p3_canonical, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_pieces": p9_pieces}
 SQL: dict[str, str] = {}
