@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from quire.llm import lookalike, mix, pairs, scan_noise, split, truncation
+from quire.llm import leakage, lookalike, mix, pairs, scan_noise, split, truncation
 from quire.session import cut, table
 
 
@@ -73,5 +73,19 @@ def p5_repaired(spark: SparkSession, d: str) -> DataFrame:
     return scan_noise.repaired(table(spark, d, "ocr_blocks"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_repaired": p5_repaired, "p1_found": p1_found, "p2_found": p2_found, "p2_sources": p2_sources, "p3_found": p3_found, "p3_canonical": p3_canonical, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_pieces": p9_pieces}
+def p7_spans(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.find_leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_passages"), "item_id", "passage")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_spans(spark, d).select("doc_id", "item_id").distinct()
+
+
+def p7_items(spark: SparkSession, d: str) -> DataFrame:
+    """Per held-out item, how many documents it leaked into."""
+    found = p7_found(spark, d).groupBy("item_id").agg(F.count("*").alias("documents"))
+    return table(spark, d, "eval_passages").select("item_id", "split_name").join(found, "item_id", "left").na.fill(0, ["documents"])
+
+
+QUERIES = {"p7_found": p7_found, "p7_spans": p7_spans, "p7_items": p7_items, "p5_found": p5_found, "p5_repaired": p5_repaired, "p1_found": p1_found, "p2_found": p2_found, "p2_sources": p2_sources, "p3_found": p3_found, "p3_canonical": p3_canonical, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_pieces": p9_pieces}
 SQL: dict[str, str] = {}
