@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.operators.joins import join_lookup
+from quire.session import cut
 
 # Letters of other alphabets and the Latin letters they look like.
 CYRILLIC = "аеорсухіјѕһԁԛԝӏАВЕЅІЈКМНОРСТУХԌԚԜ"
@@ -139,21 +140,27 @@ def canonical(df: DataFrame, text: str, out: str = "canonical") -> DataFrame:
     ones are grouped; no texts are dropped, whatever their number or length.
     """
     rows = df.drop(out)
-    irregular = F.coalesce(F.col(text).rlike(SUSPECT) & F.col(text).rlike(IRREGULAR), F.lit(False))
-    plain = rows.filter(~irregular).withColumn(out, F.col(text))
-    odd = rows.filter(irregular).withColumn("_m", mapped(F.col(text)))
-    odd = odd.withColumn("_class", F.collate(F.col("_m"), "UNICODE"))
-    sizes = odd.groupBy("_class", F.collate(F.col("_m"), "UTF8_BINARY").alias("_v")).agg(F.count("*").alias("_n"))
+    irregular = _irregular(text)
+    return rows.filter(~irregular).withColumn(out, F.col(text)).unionByName(_fixed(rows.filter(irregular), text, out))
+
+
+def _irregular(text: str) -> Column:
+    return F.coalesce(F.col(text).rlike(SUSPECT) & F.col(text).rlike(IRREGULAR), F.lit(False))
+
+
+def _fixed(rows: DataFrame, text: str, out: str) -> DataFrame:
+    """Irregular ``rows`` with the one member of their class; mapped once, kept for the uses that follow."""
+    odd = cut(rows.withColumn("_class", F.collate(mapped(F.col(text)), "UNICODE")))
+    sizes = odd.groupBy("_class", F.collate(F.col("_class"), "UTF8_BINARY").alias("_v")).agg(F.count("*").alias("_n"))
     seeds = sizes.select("_class", composed(F.col("_v")).alias("_v"), F.lit(0).cast("bigint").alias("_n"))
     members = sizes.unionByName(seeds).withColumn(
-        "_odd", F.length("_v") - F.length(F.regexp_replace("_v", rf"[̀-ͯ{INVISIBLE}]", "")))
+        "_odd", F.length("_v") - F.length(F.regexp_replace("_v", rf"[\u0300-\u036F{INVISIBLE}]", "")))
     classes = members.groupBy("_class").agg(F.min_by("_v", F.struct("_odd", F.length("_v"), "_v")).alias(out), F.sum("_n").alias("_w"))
-    total = sizes.agg(F.sum("_n").alias("_all"))
-    look = classes.crossJoin(F.broadcast(total))  # one row: a scalar
-    fixed = join_lookup(odd, look, ["_class"], F.col("_w"), F.col("_all"))
-    return plain.unionByName(fixed.select(*rows.columns, out))
+    total = odd.agg(F.count("*").alias("_all"))
+    look = cut(classes.crossJoin(F.broadcast(total)))  # one row: a scalar
+    return join_lookup(odd, look, ["_class"], F.col("_w"), F.col("_all")).select(*rows.columns, out)
 
 
 def changed(df: DataFrame, text: str) -> DataFrame:
     """The rows of ``df`` whose text is not in the consistent form."""
-    return canonical(df, text, "_canonical").filter(F.col("_canonical") != F.col(text)).drop("_canonical")
+    return _fixed(df.filter(_irregular(text)), text, "_canonical").filter(F.col("_canonical") != F.col(text)).drop("_canonical")
