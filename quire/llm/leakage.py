@@ -16,11 +16,11 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.lookalike import IRREGULAR, SUSPECT, composed, mapped, one_form
+from quire.llm.lookalike import one_form
 from quire.session import spread
 
 SEED = 4  # words a run of the automaton
@@ -37,24 +37,28 @@ _SENTENCE = re.compile(r"(?<=[.!?。！？])\s+|(?<=[。！？])")
 _WORDS = re.compile(r"[^\W_]+")
 
 
-def words_of(text: str) -> list[str]:
-    return _WORDS.findall(one_form(text).lower())
+_IRREGULAR = re.compile("[\u00a0\u00aa\u00ad\u00ba\u017f\u0300-\u03ff\u0400-\u052f\u1680\u180e\u2000-\u200f\u202a-\u202f\u205f-\u2064\u2100-\u214f"
+                        "\u3000\ufb00-\ufb06\ufeff\uff10-\uff5a\U0001d400-\U0001d7ff]")
+_BROKEN = re.compile(r"(?<=[^\W\d_])[-\u00ac\u2010][ \t]*\r?\n[ \t>]*(?=[^\W\d_A-Z])")
+_HAN = re.compile("[\u4e00-\u9fff]")
 
 
-def normalised(text: Column) -> Column:
-    """Words in lower case with single blanks between and around them: words broken at
-    line ends joined, character forms made one, all signs off."""
-    form = F.when(text.rlike(SUSPECT) & text.rlike(IRREGULAR), composed(mapped(text))).otherwise(text)
-    joined = F.when(form.rlike(r"[-¬‐][ \t]*\n"), F.regexp_replace(form, r"(?<=\p{L})[-¬‐][ \t]*\r?\n[ \t>]*(?=\p{Ll})", "")).otherwise(form)
-    plain = F.regexp_replace(F.lower(joined), r"[^\p{L}\p{N}]+", " ")
-    plain = F.when(plain.rlike(r"\p{IsHan}"), F.regexp_replace(F.regexp_replace(plain, r"(\p{IsHan})", " $1 "), " +", " ")).otherwise(plain)
-    return F.concat(F.lit(" "), F.trim(plain), F.lit(" "))
+def words_of(text: str) -> list[str]:
+    """Words in lower case: words broken at line ends joined, character forms made one,
+    signs off, Han characters one by one. Texts without irregular characters, found by
+    one fast search, skip the slow folding."""
+    if not text.isascii() and _IRREGULAR.search(text):
+        text = one_form(text)
+    if "-" in text or "\u00ac" in text or "\u2010" in text:
+        text = _BROKEN.sub("", text)
+    words = _WORDS.findall(text.lower())
+    return _han(words) if not text.isascii() and _HAN.search(text) else words
 
 
 def _han(words: list[str]) -> list[str]:
     out = []
     for w in words:
-        out += re.findall(r"[一-鿿]|[^一-鿿]+", w) if not w.isascii() else [w]
+        out += re.findall(r"[\u4e00-\u9fff]|[^\u4e00-\u9fff]+", w) if not w.isascii() else [w]
     return out
 
 
@@ -71,7 +75,7 @@ def passages(items: DataFrame, item: str, passage: str) -> list[tuple[object, li
     for i, sentences in parts:
         # A passage that several items share as a whole is theirs, not a stock sentence.
         own = [s for s in sentences if len(owners[" ".join(words_of(s))]) < 2 or bodies[tuple(sentences)] > 1]
-        words = _han([w for s in own for w in words_of(s)])
+        words = [w for s in own for w in words_of(s)]
         if len(words) >= SEED:
             out.append((i, words))
     return sorted(out, key=lambda x: (str(x[0]), x[1]))
@@ -132,12 +136,11 @@ def _chains(runs: list[tuple[int, int, int]], weigh) -> list[tuple[int, int, int
     return [(first, last, m, df, last + d, bits) for _, first, m, df, bits, last, d in best]
 
 
-def leaks(text: str, items, automaton, bits=None) -> list[tuple[int, int, int, int]]:
-    """``(index of item, matched words, first word, last word)`` of the leaks in a normalised text."""
-    hits = list(automaton.iter(text))
+def leaks(w: list[str], items, automaton, bits=None) -> list[tuple[int, int, int, int]]:
+    """``(index of item, matched words, first word, last word)`` of the leaks in a text of the words ``w``."""
+    hits = list(automaton.iter(f" {' '.join(w)} "))
     if not hits:
         return []
-    w = text.split()
     ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1)  # blank behind each word
     at = np.searchsorted(ends, np.fromiter((h[0] for h in hits), np.int64, len(hits))) - SEED + 1
     seen: dict[int, dict[int, int]] = defaultdict(dict)
@@ -190,7 +193,7 @@ def _judge(p, w, diagonals, bits=None):
 
 
 def word_offsets(original: str) -> list[tuple[int, int]]:
-    """Start and end of each word of ``original``, as ``normalised`` splits it."""
+    """Start and end of each word of ``original``, as ``words_of`` splits it."""
     out = []
     skip = "­᠎​-‏‪-‮⁠-⁤﻿̀-ͯ"
     for m in re.finditer(rf"[^\W_](?:[^\W_]|[{skip}]|[-¬‐][ \t]*\r?\n[ \t>]*(?=[^\W\d_A-Z]))*", original):
@@ -213,8 +216,7 @@ def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item: str
     """
     known = passages(items, item, passage)
     spark = docs.sparkSession
-    src = docs.select(F.col(key).alias("k"), normalised(F.col(text)).alias("n"), *([F.col(text).alias("t")] if offsets else [])).filter(F.length("n") > 8)
-    src = spread(src)
+    src = spread(docs.select(F.col(key).alias("k"), F.col(text).alias("t")).filter(F.length("t") > 0))
     kinds = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField(item, items.schema[item].dataType),
                           T.StructField("matched_words", T.IntegerType()), T.StructField("start_char", T.LongType()), T.StructField("end_char", T.LongType())])
     out = spark.createDataFrame([], kinds)
@@ -230,10 +232,11 @@ def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item: str
                 take, cols = [], ([], [], [], [])
                 texts = b.column(1)
                 for i in range(b.num_rows):
-                    found = leaks(texts[i].as_py(), mine, automaton, bits) if automaton else []
+                    original = texts[i].as_py()
+                    found = leaks(words_of(original), mine, automaton, bits) if automaton else []
                     if not found:
                         continue
-                    places = word_offsets(b.column(2)[i].as_py()) if offsets else []
+                    places = word_offsets(original) if offsets else []
                     for k, m, first, last in found:
                         ok = last < len(places)
                         take.append(i)
