@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
-import string
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,7 +64,7 @@ def unfinished(inputs: DataFrame, outputs: DataFrame, key: str) -> DataFrame:
 def expand_env(value):
     """Environment variables in the strings of a nested configuration."""
     if isinstance(value, str):
-        return string.Template(re.sub(r"\$(?![A-Za-z_{])", "$$$$", value)).safe_substitute(os.environ)
+        return os.path.expandvars(value)
     if isinstance(value, dict):
         return {k: expand_env(v) for k, v in value.items()}
     return [expand_env(v) for v in value] if isinstance(value, list) else value
