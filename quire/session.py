@@ -6,8 +6,9 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-DEFAULT_BROADCAST_ROWS = 200_000
+SMALL_ROWS = 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +34,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if a count shows that it has at most ``rows`` rows; else
+    as it is, left to a shuffled join. Meant for tables that are cheap to count."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def spread(df: DataFrame, minimum: int | None = None) -> DataFrame:
     """Give a scan of few input splits enough partitions to use the cluster.
 
