@@ -86,7 +86,9 @@ def split_packed(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
         F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("raw")) for f in fields])).alias("_f"),
     ).select("_key", "_f.field_name", "_f.raw").filter(F.col("raw").rlike(r"\S"))
 
-    texts = (long.groupBy("field_name", "raw").agg(F.count("*").alias("n"))
+    long = cut(long)
+    # Kept before parsing: else the parses' own filters are pushed below the count and run once a row.
+    texts = (cut(long.groupBy("field_name", "raw").agg(F.count("*").alias("n")))
              .withColumn("_t", F.regexp_replace("raw", r"^\s+|\s+$", ""))
              .withColumn("body", _body(F.col("_t"))))
     has_quote = F.col("body").rlike("[\"']")
