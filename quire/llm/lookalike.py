@@ -150,15 +150,15 @@ def _irregular(text: str) -> Column:
 
 def _fixed(rows: DataFrame, text: str, out: str) -> DataFrame:
     """Irregular ``rows`` with the one member of their class; mapped once, kept for the uses that follow."""
-    odd = cut(rows.withColumn("_class", F.collate(mapped(F.col(text)), "UNICODE")))
-    sizes = odd.groupBy("_class", F.collate(F.col("_class"), "UTF8_BINARY").alias("_v")).agg(F.count("*").alias("_n"))
-    seeds = sizes.select("_class", composed(F.col("_v")).alias("_v"), F.lit(0).cast("bigint").alias("_n"))
+    odd = cut(rows.withColumn("_q_class", F.collate(mapped(F.col(text)), "UNICODE")))
+    sizes = odd.groupBy("_q_class", F.collate(F.col("_q_class"), "UTF8_BINARY").alias("_q_v")).agg(F.count("*").alias("_q_n"))
+    seeds = sizes.select("_q_class", composed(F.col("_q_v")).alias("_q_v"), F.lit(0).cast("bigint").alias("_q_n"))
     members = sizes.unionByName(seeds).withColumn(
-        "_odd", F.length("_v") - F.length(F.regexp_replace("_v", rf"[\u0300-\u036F{INVISIBLE}]", "")))
-    classes = members.groupBy("_class").agg(F.min_by("_v", F.struct("_odd", F.length("_v"), "_v")).alias(out), F.sum("_n").alias("_w"))
-    total = odd.agg(F.count("*").alias("_all"))
+        "_q_odd", F.length("_q_v") - F.length(F.regexp_replace("_q_v", rf"[\u0300-\u036F{INVISIBLE}]", "")))
+    classes = members.groupBy("_q_class").agg(F.min_by("_q_v", F.struct("_q_odd", F.length("_q_v"), "_q_v")).alias(out), F.sum("_q_n").alias("_q_w"))
+    total = odd.agg(F.count("*").alias("_q_all"))
     look = cut(classes.crossJoin(F.broadcast(total)))  # one row: a scalar
-    return join_lookup(odd, look, ["_class"], F.col("_w"), F.col("_all")).select(*rows.columns, out)
+    return join_lookup(odd, look, ["_q_class"], F.col("_q_w"), F.col("_q_all")).select(*rows.columns, out)
 
 
 def changed(df: DataFrame, text: str) -> DataFrame:

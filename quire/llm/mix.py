@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.tokens import TOKENIZER, with_tokens
-from quire.session import cut, spread
+from quire.session import cut, small, spread
 
 ONE = 1 << 32  # fixed-point unit of expected copies; sums are exact integers
 
@@ -54,7 +54,7 @@ def mix(sized: DataFrame, targets: DataFrame, key: str = "doc_id", seed: int = 1
     null or untargeted sources and targets without records give no row. Target
     rows of one source under several spellings are added up.
     """
-    goal = F.broadcast(_shares(sized, targets).select("source", "step"))  # as many rows as targets
+    goal = small(cut(_shares(sized, targets).select("source", "step")))
     rows = sized.join(goal, "source")
     n = rows.count()
     buckets = max(16, n // bucket_rows)

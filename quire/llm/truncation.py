@@ -12,6 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.operators.joins import join_lookup
+from quire.session import SMALL_ROWS, cut
+
 # What systems put behind a cut, how an answer part is introduced,
 # and what ends a sentence (with quotes or brackets that may follow).
 CUT_MARK = r"(?:\s|…|\.\.\.|\[(?:\.\.\.|…)\]|[\[(<](?i:truncated|cut|more)[\])>])+$"
@@ -53,19 +56,19 @@ def open_marks(text: Column) -> Column:
 def shapes(df: DataFrame, text: str, source: str) -> DataFrame:
     """``df`` with the structural facts of ``text`` in the struct ``_s``."""
     body = F.regexp_replace(F.col(text), CUT_MARK, "")
-    d = df.withColumn("_body", body)
-    label = F.regexp_extract("_body", LABEL, 1)
-    has_label = F.col("_body").rlike(LABEL)
+    d = df.withColumn("_q_body", body)
+    label = F.regexp_extract("_q_body", LABEL, 1)
+    has_label = F.col("_q_body").rlike(LABEL)
     words = F.size(F.regexp_extract_all(F.trim(label), F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0)))
-    return d.withColumn("_s", F.struct(
-        F.length("_body").alias("chars"), F.octet_length("_body").alias("bytes"),
-        (F.col("_body") != F.rtrim(F.col(text))).alias("marked"),
-        F.col("_body").rlike(r"(?i)</answer>$").alias("closed"),
+    return d.withColumn("_q_s", F.struct(
+        F.length("_q_body").alias("chars"), F.octet_length("_q_body").alias("bytes"),
+        (F.col("_q_body") != F.rtrim(F.col(text))).alias("marked"),
+        F.col("_q_body").rlike(r"(?i)</answer>$").alias("closed"),
         has_label.alias("has_label"), F.trim(label).alias("label"), words.alias("label_words"),
-        F.col("_body").rlike(TERMINATOR).alias("ended"),
-        F.col("_body").rlike(r"(?:�|\\|&[a-zA-Z#]{0,6}|\\u[0-9a-fA-F]{0,3}|<[a-zA-Z/]{0,9})$").alias("broken"),
+        F.col("_q_body").rlike(TERMINATOR).alias("ended"),
+        F.col("_q_body").rlike(r"(?:�|\\|&[a-zA-Z#]{0,6}|\\u[0-9a-fA-F]{0,3}|<[a-zA-Z/]{0,9})$").alias("broken"),
         F.coalesce(F.col(source), F.lit("")).alias("source"),
-    )).drop("_body")
+    )).drop("_q_body")
 
 
 def baselines(shaped: DataFrame, least_share: float = 0.01, least_rows: int = 5) -> DataFrame:
@@ -75,7 +78,7 @@ def baselines(shaped: DataFrame, least_share: float = 0.01, least_rows: int = 5)
     (and ``least_rows`` of them) have it, counted in characters or in bytes. At
     most ``2 / least_share`` limits a source, so a row stays small.
     """
-    s = shaped.select("_s.*")
+    s = shaped.select("_q_s.*")
     per = s.groupBy("source").agg(F.count("*").alias("n"), F.avg((F.col("closed") | F.col("has_label")).cast("int")).alias("answered"),
                                   F.avg(F.col("ended").cast("int")).alias("terminated"))
     unit = F.explode(F.array(F.struct(F.lit("c").alias("unit"), F.col("chars").alias("size")),
@@ -96,30 +99,35 @@ def with_verdict(df: DataFrame, text: str, source: str, question: str | None = N
     complete: a short phrase, number or list needs no full stop, and neither
     does an answer that only repeats ``question``. Blanks and marks put behind
     a cut are looked through. Rows of a null source form a source of their own.
+    A column already named ``cut`` is replaced; all others stay. An empty table
+    gives no rows.
     """
-    shaped = shapes(df, text, source)
-    base = baselines(shaped.filter(F.col(text).isNotNull()))
-    d = shaped.join(base.withColumnRenamed("source", "_source"), F.col("_s.source") == F.col("_source"), "left").drop("_source")
-    s = F.col("_s")
-    at_limit = F.coalesce(
-        F.array_contains("char_limits", s["chars"]) | F.array_contains("byte_limits", s["bytes"]), F.lit(False))
+    shaped = shapes(df.drop("cut"), text, source)
+    base = cut(baselines(shaped.filter(F.col(text).isNotNull())))
+    facts = base.select(F.col("source").alias("_q_source"), F.struct("answered", "terminated", "char_limits", "byte_limits").alias("_q_b"), F.col("n").alias("_q_n"))
+    if facts.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
+        d = shaped.join(F.broadcast(facts.drop("_q_n")), F.col("_q_s.source") == F.col("_q_source"), "left").drop("_q_source")
+    else:  # too many sources to send around: only those with many rows are
+        total = facts.agg(F.sum("_q_n").alias("_q_all"))
+        keyed = shaped.withColumn("_q_source", F.col("_q_s.source"))
+        d = join_lookup(keyed, facts.crossJoin(F.broadcast(total)), ["_q_source"], F.col("_q_n"), F.col("_q_all"), "left").drop("_q_source", "_q_n", "_q_all")
+    s, b = F.col("_q_s"), F.col("_q_b")
+    at_limit = F.coalesce(F.array_contains(b["char_limits"], s["chars"]) | F.array_contains(b["byte_limits"], s["bytes"]), F.lit(False))
     opened = open_marks(F.col(text))
     fold = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "")
     restates = F.coalesce(fold(F.col(question)) == fold(s["label"]), F.lit(False)) if question else F.lit(False)
-    label_open = open_marks(s["label"]) != ""
-    label_cut = ((s["label"] == "") | label_open | s["marked"] & ~s["ended"]
-                 | ~s["ended"] & at_limit & ~F.col("_closed_list")
-                 | ~s["ended"] & (s["label_words"] >= 5) & ~restates & ~F.col("_closed_list"))
-    d = d.withColumn("_closed_list", s["label"].rlike(r"[\])}]$"))
-    no_part = F.when(F.coalesce(F.col("answered"), F.lit(1.0)) >= 0.3, F.lit(True)) \
-        .otherwise((opened != "") | at_limit & ~s["ended"] | s["marked"] | ~s["ended"] & (F.col("terminated") >= 0.7))
+    closed_list = s["label"].rlike(r"[\])}]$")
+    label_cut = ((s["label"] == "") | (open_marks(s["label"]) != "") | s["marked"] & ~s["ended"] | ~s["ended"] & at_limit & ~closed_list
+                 | ~s["ended"] & (s["label_words"] >= 5) & ~restates & ~closed_list)
+    no_part = F.when(F.coalesce(b["answered"], F.lit(1.0)) >= 0.3, F.lit(True)) \
+        .otherwise((opened != "") | at_limit & ~s["ended"] | s["marked"] | ~s["ended"] & (b["terminated"] >= 0.7))
     verdict = (F.when(F.col(text).isNull(), F.lit(None).cast("boolean"))
                .when(s["closed"], F.lit(False))
                .when(s["broken"], F.lit(True))
                .when(opened.rlike("[TA]"), F.lit(True))
                .when(s["has_label"], label_cut)
                .otherwise(no_part))
-    return d.withColumn("cut", verdict).drop("_s", "n", "answered", "terminated", "char_limits", "byte_limits", "_closed_list")
+    return d.withColumn("cut", verdict).drop("_q_s", "_q_b")
 
 
 def source_report(judged: DataFrame, source: str) -> DataFrame:

@@ -9,7 +9,7 @@ CUT = ["<think>\nlook at (image 2) fi", "<think>a</think>\n<answer>The bridge wa
 
 
 def frame(spark, texts):
-    return spark.createDataFrame([(i, "s", t, "Which bridge of Corvane shows the largest change?", "clash") for i, t in enumerate(texts)], "id int, run_source string, prediction string, question string, n string").withColumnRenamed("n", "note")
+    return spark.createDataFrame([(i, "s", t, "Which bridge of Corvane shows the largest change?", "clash") for i, t in enumerate(texts)], "id int, run_source string, prediction string, question string, n string")
 
 
 def test_verdicts(spark):
