@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
+from itertools import accumulate
 from operator import eq
 
 import numpy as np
@@ -27,8 +28,9 @@ SEED = 4  # words a run of the automaton
 RUN = 16  # running words that make a leak
 EDGE = 2  # replaced words that may stand at the two ends of such a run
 DENSITY = 0.8  # share of words that match: about one in seven differs, unevenly spread
-# Share of the run's information that matches, by matched words: stock phrases match in their frame, not in what they say.
-WEIGHT = ((16, 0.9), (20, 0.85), (3 * RUN, 0.6), (10**9, 0.0))
+# Bits by which a run must speak for a quotation against a chance meeting in a stock frame.
+SURE = 14.0
+REPLACED = 1 / 7  # chance that a quoted word is replaced or misread
 MATCHED = 13  # words of such a run that match: sixteen less about one in seven
 WHOLE = 0.75  # share of a passage that its pieces must make up
 BLOCK_ITEMS = 20_000  # items an automaton: larger sets are scanned in blocks
@@ -81,10 +83,37 @@ def passages(items: DataFrame, item: str, passage: str) -> list[tuple[object, li
     return sorted(out, key=lambda x: (str(x[0]), x[1]))
 
 
-def information(items) -> dict[str, float]:
-    """Bits of each word, by how many passages have it."""
-    df = Counter(x for _, w in items for x in set(w))
-    return {x: np.log2((len(items) + 1) / n) if len(items) > 20 else 1.0 for x, n in df.items()}
+def information(items) -> list[tuple[list[float], list[float]]]:
+    """For each item, what each word of its passage speaks for a quotation, in bits: if it matches, and if it differs.
+
+    A word that its neighbours foretell, as other passages show, belongs to a
+    stock frame: that it matches says little, that it differs is no sign of the
+    frame. Any other word counts by its rarity.
+    """
+    words = Counter(x for _, w in items for x in w)
+    total = sum(words.values()) + 1
+    known, pairs = Counter(), Counter()
+    sides = (-2, -1, 1, 2)
+    contexts = []
+    for _, w in items:
+        n = len(w)
+        own = {(i, e): (e, w[i + e]) for i in range(n) for e in sides if 0 <= i + e < n}
+        contexts.append(own)
+        known.update(set(own.values()))  # passages count, not places
+        pairs.update({(c, w[i]) for (i, _), c in own.items()})
+    out = []
+    for (_, w), own in zip(items, contexts):
+        match, differ = [], []
+        for i, x in enumerate(w):
+            bits = np.log2(total / words[x])
+            for e in sides:
+                c = own.get((i, e))
+                if c is not None and pairs[c, x] > 1:  # seen in other passages too
+                    bits = min(bits, np.log2((known[c] - 1) / (pairs[c, x] - 1)))
+            match.append(float(bits + np.log2(1 - REPLACED)))
+            differ.append(float(np.log2(REPLACED) - np.log2(max(1 - 2.0 ** -bits, 0.125))))
+        out.append((match, differ))
+    return out
 
 
 def _automaton(items):
@@ -117,13 +146,13 @@ def _runs(p: list[str], w: list[str], diagonal: int) -> list[tuple[int, int, int
     return out
 
 
-def _chains(runs: list[tuple[int, int, int]], weigh) -> list[tuple[int, int, int, int, int, float]]:
+def _chains(runs: list[tuple[int, int, int]], match, differ) -> list[tuple[int, int, int, int, int, float]]:
     """Runs linked over at most three differing words and a shift of at most two places: the
     densest chain ending at each run, as ``(first, last, matched, doc first, doc last, bits)``."""
     best: list[tuple] = []
     for a, b, d in sorted(runs):
         n = b - a + 1
-        own = weigh[b + 1] - weigh[a]
+        own = match[b + 1] - match[a]
         top = (float(n), a, n, a + d, own)
         for s, first, m, df, bits, last, dd in reversed(best[-40:]):
             gap = a - last - 1
@@ -131,7 +160,7 @@ def _chains(runs: list[tuple[int, int, int]], weigh) -> list[tuple[int, int, int
             if 0 <= gap <= 3 and shift <= 2 and a + d > last + dd:
                 score = s + n - 1.5 * max(gap, 1) - shift
                 if score > top[0]:
-                    top = (score, first, m + n, df, bits + own)
+                    top = (score, first, m + n, df, bits + own + differ[a] - differ[last + 1])
         best.append((*top, b, d))
     return [(first, last, m, df, last + d, bits) for _, first, m, df, bits, last, d in best]
 
@@ -158,25 +187,28 @@ def leaks(w: list[str], items, automaton, bits=None) -> list[tuple[int, int, int
         if pieces < WHOLE * len(p) and max(diagonals.values()) < need and (len(diagonals) < 2 or max(
                 m + sum(diagonals.get(d + e, 0) for e in (-2, -1, 1, 2)) for d, m in diagonals.items()) < need):
             continue
-        found = _judge(p, w, diagonals, bits)
+        found = _judge(p, w, diagonals, bits and bits[k])
         if found:
             out.append((k, *found))
     return out
 
 
+def _sums(values) -> list[float]:
+    return [0.0, *accumulate(values)]
+
+
 def _judge(p, w, diagonals, bits=None):
     near = {e for d in diagonals for e in (d - 2, d - 1, d, d + 1, d + 2)}
     runs = [r for d in near for r in _runs(p, w, d) if r[1] - r[0] >= 1 or d in diagonals]
     if len(runs) > 600:  # a text of many repetitions: runs the automaton saw are enough
         runs = [r for d in diagonals for r in _runs(p, w, d) if r[1] - r[0] >= 2]
-    weigh = np.concatenate([[0.0], np.cumsum([bits[x] for x in p])]) if bits else np.arange(len(p) + 1.0)
-    weigh = weigh.tolist()
-    chains = _chains(runs, weigh)
+    match, differ = map(_sums, bits or ([1.0] * len(p), [0.0] * len(p)))
+    sure = SURE if bits else 0.0
+    chains = _chains(runs, match, differ)
     need = min(RUN, len(p)) - EDGE
     good = [c for c in chains if c[1] - c[0] + 1 >= need and c[2] >= max(min(MATCHED, need), DENSITY * (c[1] - c[0] + 1))]
     for c in sorted(good, key=lambda c: (-c[2], c[3]))[:5]:
-        share = c[5] / max(weigh[c[1] + 1] - weigh[c[0]], 1e-9)
-        if share >= next(least for below, least in WEIGHT if c[2] < below):
+        if c[5] >= sure or RUN <= c[2] == c[1] - c[0] + 1:
             return c[2], c[3], c[4]
     # The whole passage in pieces: chains of a few words, in a stretch of the text not much longer than the passage.
     parts = sorted((c for c in chains if c[2] >= 5 and c[2] >= DENSITY * (c[1] - c[0] + 1)), key=lambda c: c[3])

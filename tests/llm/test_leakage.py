@@ -50,3 +50,37 @@ def test_against_brute_force():
 def test_word_offsets_agree():
     text = "Exam-\nple of “Sand​ö”, 12.5 km — 漢字 and more"
     assert len(L.word_offsets(text)) == len(L.words_of(text))
+
+
+def replaced(words, k):
+    """``words`` with ``k`` of the inner ones replaced."""
+    out = list(words)
+    for i in RNG.sample(range(1, len(words) - 1), k):
+        out[i] = "qqq"
+    return out
+
+
+def test_short_quotations_with_replaced_words():
+    items = [(i, L.words_of(t)) for i, t in ITEMS if t]
+    auto, bits = L._automaton(items), L.information(items)
+    for n in (16, 17, 18, 19, 20, 21):
+        for k in range(40):
+            for _ in range(3):
+                at = RNG.randrange(1, 20)
+                body = items[k][1][at:at + n]
+                body = body[:5] + replaced(body[5:], n // 7)  # a matching run for the automaton
+                w = L.words_of(passage(30)) + body + L.words_of(passage(30))
+                assert k in {x[0] for x in L.leaks(w, items, auto, bits)}, (n, k)
+
+
+def test_stock_frames_are_no_quotations():
+    frame = "when the {} was not yet {} all of the {} had to wait for the next turn".split()
+    fill = lambda: [RNG.choice(VOCAB) if x == "{}" else x for x in frame]
+    items = [(i, L.words_of(passage(20)) + fill() + L.words_of(passage(20))) for i in range(30)]
+    auto, bits = L._automaton(items), L.information(items)
+    for i in range(30):
+        w = L.words_of(passage(30)) + fill() + L.words_of(passage(30))
+        assert not L.leaks(w, items, auto, bits)
+        body = items[i][1][14:32]
+        w = L.words_of(passage(30)) + body[:4] + replaced(body[4:], 2) + L.words_of(passage(30))
+        assert i in {x[0] for x in L.leaks(w, items, auto, bits)}
