@@ -10,10 +10,10 @@ passage, are leaks. Word places are mapped back to offsets of the original text.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
 from itertools import accumulate
-from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -148,21 +148,30 @@ def _runs(p: list[str], w: list[str], diagonal: int) -> list[tuple[int, int, int
 
 def _chains(runs: list[tuple[int, int, int]], match, differ) -> list[tuple[int, int, int, int, int, float]]:
     """Runs linked over at most three differing words and a shift of at most two places: the
-    densest chain ending at each run, as ``(first, last, matched, doc first, doc last, bits)``."""
-    best: list[tuple] = []
+    densest chain ending at each run, from each of its runs on, as ``(first, last, matched, doc first, doc last, bits)``."""
+    best: dict[tuple[int, int], tuple] = {}  # by last word and diagonal, which name one run
+    out = []
     for a, b, d in sorted(runs):
         n = b - a + 1
-        own = match[b + 1] - match[a]
-        top = (float(n), a, n, a + d, own)
-        for s, first, m, df, bits, last, dd in reversed(best[-40:]):
-            gap = a - last - 1
-            shift = abs(d - dd)
-            if 0 <= gap <= 3 and shift <= 2 and a + d > last + dd:
-                score = s + n - 1.5 * max(gap, 1) - shift
-                if score > top[0]:
-                    top = (score, first, m + n, df, bits + own + differ[a] - differ[last + 1])
-        best.append((*top, b, d))
-    return [(first, last, m, df, last + d, bits) for _, first, m, df, bits, last, d in best]
+        score, before = -math.inf, None
+        for last in range(a - 4, a):
+            for dd in range(d - 2, d + 3):
+                x = best.get((last, dd))
+                if x is not None and a + d > last + dd:
+                    s = x[0] + n - 1.5 * max(a - last - 1, 1) - abs(d - dd)
+                    if s > score:
+                        score, before = s, x
+        at = best[b, d] = (max(score, float(n)), a, b, d, before)
+        matched, bits, end = 0, 0.0, b
+        while at is not None:
+            _, first, last, dd, at = at
+            matched += last - first + 1
+            bits += match[last + 1] - match[first] + differ[end] - differ[min(last + 1, end)]
+            out.append((first, b, matched, first + dd, b + d, bits))
+            end = first
+            if matched + first < DENSITY * (b + 1):  # not dense enough even if all words before match
+                break
+    return out
 
 
 def leaks(w: list[str], items, automaton, bits=None) -> list[tuple[int, int, int, int]]:
@@ -172,22 +181,13 @@ def leaks(w: list[str], items, automaton, bits=None) -> list[tuple[int, int, int
         return []
     ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1)  # blank behind each word
     at = np.searchsorted(ends, np.fromiter((h[0] for h in hits), np.int64, len(hits))) - SEED + 1
-    seen: dict[int, dict[int, int]] = defaultdict(dict)
+    seen: dict[int, set[int]] = defaultdict(set)
     for (_, where), word in zip(hits, at.tolist()):
         for k, i in where:
-            seen[k][word - i] = seen[k].get(word - i, 0) + 1
+            seen[k].add(word - i)
     out = []
     for k, diagonals in seen.items():
-        p = items[k][1]
-        need, pieces = min(MATCHED, len(p) - EDGE), 0
-        for d, n in diagonals.items():
-            lo, hi = max(0, -d), min(len(p), len(w) - d)
-            diagonals[d] = sum(map(eq, p[lo:hi], w[lo + d:hi + d]))
-            pieces += n + SEED - 1 if n > 1 else 0
-        if pieces < WHOLE * len(p) and max(diagonals.values()) < need and (len(diagonals) < 2 or max(
-                m + sum(diagonals.get(d + e, 0) for e in (-2, -1, 1, 2)) for d, m in diagonals.items()) < need):
-            continue
-        found = _judge(p, w, diagonals, bits and bits[k])
+        found = _judge(items[k][1], w, diagonals, bits and bits[k])
         if found:
             out.append((k, *found))
     return out
@@ -200,28 +200,38 @@ def _sums(values) -> list[float]:
 def _judge(p, w, diagonals, bits=None):
     near = {e for d in diagonals for e in (d - 2, d - 1, d, d + 1, d + 2)}
     runs = [r for d in near for r in _runs(p, w, d) if r[1] - r[0] >= 1 or d in diagonals]
-    if len(runs) > 600:  # a text of many repetitions: runs the automaton saw are enough
-        runs = [r for d in diagonals for r in _runs(p, w, d) if r[1] - r[0] >= 2]
+    need = min(RUN, len(p)) - EDGE
+    matched = sum(b - a + 1 for a, b, _ in runs)
+    # No chain has more matching words than all runs have, nor do pieces cover more than those allow.
+    if matched < min(max(min(MATCHED, need), DENSITY * need), DENSITY * WHOLE * len(p)):
+        return None
     match, differ = map(_sums, bits or ([1.0] * len(p), [0.0] * len(p)))
     sure = SURE if bits else 0.0
-    chains = _chains(runs, match, differ)
-    need = min(RUN, len(p)) - EDGE
-    good = [c for c in chains if c[1] - c[0] + 1 >= need and c[2] >= max(min(MATCHED, need), DENSITY * (c[1] - c[0] + 1))]
-    for c in sorted(good, key=lambda c: (-c[2], c[3]))[:5]:
-        if c[5] >= sure or RUN <= c[2] == c[1] - c[0] + 1:
-            return c[2], c[3], c[4]
-    # The whole passage in pieces: chains of a few words, in a stretch of the text not much longer than the passage.
-    parts = sorted((c for c in chains if c[2] >= 5 and c[2] >= DENSITY * (c[1] - c[0] + 1)), key=lambda c: c[3])
-    reach = 6 * len(p) + 60
-    for x in range(len(parts)):
-        covered: set[int] = set()
-        for c in parts[x:]:
-            if c[4] - parts[x][3] > reach:
-                break
-            covered.update(range(c[0], c[1] + 1))
-            if len(covered) >= WHOLE * len(p):
-                return len(covered), parts[x][3], c[4]
-    return None
+    chains = [c for c in _chains(runs, match, differ) if c[2] >= DENSITY * (c[1] - c[0] + 1)]
+    good = [c for c in chains if c[1] - c[0] + 1 >= need and c[2] >= min(MATCHED, need) and (c[5] >= sure or RUN <= c[2] == c[1] - c[0] + 1)]
+    if good:
+        c = min(good, key=lambda c: (-c[2], c[3]))
+        return c[2], c[3], c[4]
+    # The whole passage in pieces: chains of a few words that say more than a choice among the places of the text.
+    least = math.log2(len(w)) if bits else 0.0
+    parts = sorted((c for c in chains if c[2] >= 5 and c[5] >= least), key=lambda c: c[3])
+    if len(set().union(*(range(c[0], c[1] + 1) for c in parts))) < WHOLE * len(p):
+        return None
+    # The shortest stretch of the text that holds enough of them.
+    held, covered, x, stretch = Counter(), 0, 0, None
+    for y, c in enumerate(parts):
+        for i in range(c[0], c[1] + 1):
+            held[i] += 1
+            covered += held[i] == 1
+        while covered >= WHOLE * len(p):
+            size = max(q[4] for q in parts[x:y + 1]) - parts[x][3]
+            if stretch is None or size < stretch[0]:
+                stretch = size, covered, parts[x][3], parts[x][3] + size
+            for i in range(parts[x][0], parts[x][1] + 1):
+                held[i] -= 1
+                covered -= held[i] == 0
+            x += 1
+    return stretch[1:]
 
 
 def word_offsets(original: str) -> list[tuple[int, int]]:

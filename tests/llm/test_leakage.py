@@ -84,3 +84,28 @@ def test_stock_frames_are_no_quotations():
         body = items[i][1][14:32]
         w = L.words_of(passage(30)) + body[:4] + replaced(body[4:], 2) + L.words_of(passage(30))
         assert i in {x[0] for x in L.leaks(w, items, auto, bits)}
+
+
+def test_pieces_far_apart_with_replaced_words():
+    items = [(i, L.words_of(passage(40))) for i in range(30)]
+    auto, bits = L._automaton(items), L.information(items)
+    for k in range(10):
+        w = L.words_of(passage(50))
+        for at in (20, 0, 30, 10):
+            piece = list(items[k][1][at:at + 10])
+            piece[4] = "qqq"
+            w += piece + L.words_of(passage(150))
+        assert [x[0] for x in L.leaks(w, items, auto, bits)] == [k]
+    assert not L.leaks(w[:w.index("qqq") + 300], items, auto, bits)
+
+
+def test_chains_of_many_runs():
+    p = [f"w{i}" for i in range(30)]
+    # Every word of the frame stands on many diagonals before the quotation.
+    runs = [(a, a + 1, d) for a in range(0, 12) for d in range(100, 700, 3)] + [(0, 4, 7), (6, 10, 7), (12, 16, 7)]
+    sums = [float(i) for i in range(31)]
+    assert any(c[:5] == (0, 16, 15, 7, 23) for c in L._chains(runs, sums, [0.0] * 31))
+    # More runs than a small fixed number, in a text of many repetitions.
+    w = (p[:5] + ["x"]) * 800 + p[:7] + ["x"] + p[8:12] + ["y"] + p[13:18] + ["x"] * 9
+    items = [(0, p)]
+    assert L.leaks(w, items, L._automaton(items), L.information(items))
