@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 import re
-from itertools import combinations
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -31,6 +31,7 @@ CONFUSIONS = [
     ("b", "h"), ("6", "b"), ("vv", "w"), ("m", "in"), ("h", "li"), ("d", "cl"), ("m", "rn"), ("8", "b"), ("3", "e"), ("|", "l"), ("$", "s"),
     ("1", "i"), ("e", "c"), ("rm", "nn"), ("nn", "m"), ("q", "g"), ("2", "z"), ("7", "t"),
 ]
+CONFUSED = 8.0  # bits of a confusion
 SUSPENDED = frozenset("and or to und oder bis et ou y o e".split())
 WORD = r"\p{L}+(?:['’-]\p{L}+)*"
 _BREAK = re.compile(r"([^\W\d_]+)[-¬‐]([ \t]*\r?\n[ \t]*| {1,2})([^\W\d_]+)")
@@ -63,37 +64,43 @@ def lexicon(blocks: DataFrame, text: str = "text", share: float = 1e-6, least: i
 
 # ------------------------------------------------------------------ decoding
 
-def readings(word: str, most: int = 3) -> set[str]:
-    """Words that recognition may have read as ``word``, up to ``most`` confusions."""
-    sites = [(i, seen, meant) for seen, ms in _BY_END.items() for i in range(len(word) - len(seen) + 1) if word.startswith(seen, i) for meant in ms]
-    signs = len(_SIGN.findall(word))
-    out = set()
-    for k in range(1, min(most, len(sites)) + 1):
-        if k == 3 and (signs < 1 or len(sites) > 14) or k == 2 and len(sites) > 40:
-            break
-        for chosen in combinations(sites, k):
-            chosen = sorted(chosen)
-            if any(a[0] + len(a[1]) > b[0] for a, b in zip(chosen, chosen[1:])):
-                continue
-            parts, at = [], 0
-            for i, seen, meant in chosen:
-                parts += [word[at:i], meant]
-                at = i + len(seen)
-            out.add("".join(parts) + word[at:])
-    return out
-
-
 class Decoder:
     """Reads words through the lexicon; results are kept per word, up to a bound of memory."""
 
     def __init__(self, counts: dict[str, int], room: int = 200_000):
         self.counts, self.room, self.seen = counts, room, {}
         self.total = max(sum(counts.values()), 1)
+        self.top = max(counts.values(), default=0)
+        self.order = sorted(counts)
 
     def bits(self, word: str) -> float:
         n = self.counts.get(word, 0)
         return math.log2(self.total / n) if n else 5.0 * len(word) + 10.0
 
+    def readings(self, word: str, start: int = 0) -> list[tuple[int, str, int]]:
+        """``(end, reading, confusions)`` of all words of the lexicon that recognition may have read
+        as the characters from ``start`` to ``end``: a search along prefixes the lexicon has."""
+        out, order = [], self.order
+        todo = [(start, "", 0)]
+        while todo:
+            i, made, k = todo.pop()
+            if made:
+                at = bisect_left(order, made)
+                if at == len(order) or not order[at].startswith(made):
+                    continue
+                if order[at] == made:
+                    out.append((i, made, k))
+            if i < len(word):
+                todo.append((i + 1, made + word[i], k))
+                for n in (1, 2):
+                    for meant in _BY_END.get(word[i:i + n], ()) if i + n <= len(word) else ():
+                        todo.append((i + n, made + meant, k + 1))
+        return out
+
+    def worth(self, word: str, cost: float) -> bool:
+        """Whether a reading of so many bits is shorter than the word spelled out."""
+        return cost < 5.0 * len(word) + 10.0
+
     def pieces(self, word: str) -> tuple[str, ...] | None:
         """The word as two words of the lexicon, the cheaper split first (merged words, compounds)."""
         best = None
@@ -124,20 +131,26 @@ class Decoder:
         if not word.isascii() and not re.search(r"[a-zà-ÿ]", word):
             return None
         ratio = 1.0 if signs else 30.0 / doubt
-        least = max(1.0, n * ratio)
-        best, most = None, 0
-        for r in readings(word):
-            c = self.counts.get(r, 0)
-            if c > most and c >= least and c > n:
-                best, most = r, c
-        if best is None and n == 0 and (signs or not self.pieces(word)):
+        least = max(1.0, n * ratio, n + 1)
+        if least > self.top:  # no word is that much more frequent
+            return None
+        found = [(r, k) for end, r, k in self.readings(word) if end == len(word) and k and self.counts[r] >= least]
+        # A few confusions are common; more of them must pay for themselves.
+        few = [(self.counts[r], r) for r, k in found if k <= 2 or k == 3 and signs or self.worth(word, self.bits(r) + CONFUSED * k)]
+        if few:
+            return max(few)[1]
+        if n == 0 and (signs or not self.pieces(word)):
             # Compounds and inflected words: the reading may be two words of the lexicon in one.
-            for r in readings(word, 2):
-                if len(r) >= 8 and self.pieces(r):
-                    cost = sum(map(self.bits, self.pieces(r)))
-                    if best is None or cost < most:
-                        best, most = r, cost
-        return best
+            best = None
+            for i, x, k in self.readings(word):
+                if i < len(word) and len(x) >= 3:
+                    for end, y, m in self.readings(word, i):
+                        if end == len(word) and len(y) >= 3 and k + m and len(x) + len(y) >= 8:
+                            cost = self.bits(x) + self.bits(y)
+                            if (k + m <= 2 or self.worth(word, cost + CONFUSED * (k + m))) and (best is None or cost < best[0]):
+                                best = cost, x + y
+            return best and best[1]
+        return None
 
 
 def hyphen_breaks(text: str, dec: Decoder) -> list[tuple[int, int, str]]:
@@ -150,7 +163,7 @@ def hyphen_breaks(text: str, dec: Decoder) -> list[tuple[int, int, str]]:
         known = low in dec.counts or dec.read(low, 3.0) is not None
         if b[0].isupper() and not a.isupper():
             continue
-        if b.lower() in SUSPENDED and not (known and dec.counts.get(low, 0) > 20):
+        if b.lower() in SUSPENDED and not (known and dec.counts.get(low, 0) * 20 > dec.counts.get(a.lower(), 0)):
             continue
         if f"{a}-{b}".lower() in dec.counts and not known:
             continue
@@ -176,8 +189,7 @@ def decode(text: str, conf: float | None, dec: Decoder) -> tuple[str, bool, bool
         nonlocal misread
         word = m.group()
         low = word.lower()
-        n = dec.counts.get(low, 0)
-        if n > 2000 or not any(c.isalpha() for c in low):
+        if not any(c.isalpha() for c in low):
             return word
         right = dec.read(low, doubt)
         if right is None:

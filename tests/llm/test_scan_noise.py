@@ -43,3 +43,16 @@ def test_decoder_and_paragraphs():
         assert dec.read(seen) == meant, seen
     assert S.paragraphs(["One line that goes", "on to its end.", "", "Another one."]) == ["One line that goes on to its end.", "Another one."]
     assert S.paragraphs([]) == [] and len(S.paragraphs(["word"] * 3000)) >= 1
+
+
+def test_counts_grow_with_the_input():
+    for times in (1, 100, 10_000):
+        dec = S.Decoder({"percent": 2000 * times, "percenf": 22 * times, "short": 900 * times, "shortand": 3 * times, "and": 9000 * times, "thousand": 800 * times})
+        assert S.decode("ten percenf more", 0.9, dec) == ("ten percent more", False, True), times
+        assert not S.decode("short- and long", 0.9, dec)[1] and S.decode("thous- and", 0.9, dec)[1], times
+
+
+def test_many_confusions():
+    dec = S.Decoder({"modernization": 400, "dismemberment": 90, "bridge": 300})
+    for seen, meant in (("rn0derni2ati0n", "modernization"), ("clisrnernberrnent", "dismemberment"), ("mast", None)):
+        assert dec.read(seen) == meant, seen
