@@ -1,9 +1,10 @@
 """Noise in text read from scanned pages: broken words, misread characters, running lines, page numbers.
 
 Word counts over the whole corpus give a lexicon. A block's text is de-lined to
-one character stream, and the stream is decoded into words of the lexicon: a
-word may be joined across a hyphen or a stray blank, split in two, and read
-through the confusions of recognition; a reading wins by its code length. Page
+one character stream: words broken at a hyphen are joined first, then the
+cheapest path by code length decodes the stream into words of the lexicon. On
+it a word may be joined across a stray blank or a line end, run-together words
+be split, and either be read through the confusions of recognition. Page
 furniture is found over all pages of a document, and paragraphs are chosen by
 dynamic programming over the lines that are left.
 """
@@ -32,10 +33,14 @@ CONFUSIONS = [
     ("1", "i"), ("e", "c"), ("rm", "nn"), ("nn", "m"), ("q", "g"), ("2", "z"), ("7", "t"),
 ]
 CONFUSED = 8.0  # bits of a confusion
+PARTED = 12.0  # bits of a blank too many or too few
+COMMON = 1 / 500  # share of all running words from which a word is no part of a compound
 SUSPENDED = frozenset("and or to und oder bis et ou y o e".split())
 WORD = r"\p{L}+(?:['’-]\p{L}+)*"
 _BREAK = re.compile(r"([^\W\d_]+)[-¬‐]([ \t]*\r?\n[ \t]*| {1,2})([^\W\d_]+)")
 _TOKEN = re.compile(r"[^\W_](?:[\w@!|$]*[\w@$])?|[@!$|][\w@!|$]*\w")
+_GAP = re.compile(r"[ \t]{1,2}|[ \t]*\r?\n[ \t]*")
+_TIED = re.compile(r"['’-]")
 _SIGN = re.compile(r"[@!0-9|$]")
 _BY_END = {}
 for _seen, _meant in CONFUSIONS:
@@ -153,6 +158,64 @@ class Decoder:
         return None
 
 
+    def token(self, low: str, doubt: float) -> tuple[float, tuple[str, bool] | None]:
+        """Bits of a token of its own, and ``(words, misread)`` if it should read otherwise."""
+        key = (low, doubt, "token")
+        if key not in self.seen:
+            out = (self.bits(low), None)
+            if any(c.isalpha() for c in low):
+                right = self.read(low, doubt)
+                apart = None if low in self.counts or right in self.counts else self.split(low)
+                if apart:
+                    out = apart
+                elif right is not None:
+                    bits = self.bits(right) if right in self.counts else sum(map(self.bits, self.pieces(right) or (right,)))
+                    out = (bits + CONFUSED, (right, True))
+            if len(self.seen) >= self.room:
+                return out
+            self.seen[key] = out
+        return self.seen[key]
+
+    def split(self, low: str) -> tuple[float, tuple[str, bool]] | None:
+        """Words run together, read through confusions where need be: the cheapest path over
+        the characters. Of two neighbours one is a common word, else they may be a compound."""
+        if not low.isascii() and not re.search(r"[a-zà-ÿ]", low) or sum(c.isalpha() for c in low) < 5:
+            return None
+        common = COMMON * self.total
+        best = {(0, True): (0.0, (), 0)}  # by place, and whether a common word stands before it
+        for i in range(len(low)):
+            here = [(was, best[i, was]) for was in (True, False) if (i, was) in best]
+            if not here:
+                continue
+            for end, word, k in self.readings(low, i):
+                now = self.counts[word] >= common
+                if len(word) < 2 or len(word) < 3 and not now:
+                    continue
+                for was, (cost, words, n) in here:
+                    if i and not (now or was):
+                        continue
+                    c = cost + self.bits(word) + CONFUSED * k + (PARTED if i else 0.0)
+                    if (end, now) not in best or c < best[end, now][0]:
+                        best[end, now] = (c, (*words, word), n + k)
+        ends = [best[len(low), x] for x in (True, False) if (len(low), x) in best and len(best[len(low), x][1]) > 1]
+        if not ends:
+            return None
+        cost, words, k = min(ends)
+        return (cost, (" ".join(words), k > 0)) if self.worth(low, cost) else None
+
+    def joined(self, parts: tuple[str, ...], doubt: float) -> tuple[float, tuple[str, bool]] | None:
+        """Bits and ``(word, misread)`` of tokens that are one word in parts."""
+        low = "".join(parts)
+        if low in self.counts:
+            return self.bits(low) + PARTED * (len(parts) - 1), (low, False)
+        if len(low) < 5 or all(x in self.counts for x in parts) or not all(any(c.isalpha() for c in x) for x in parts):
+            return None
+        right = self.read(low, doubt)
+        if right is None or right not in self.counts:
+            return None
+        return self.bits(right) + CONFUSED + PARTED * (len(parts) - 1), (right, True)
+
+
 def hyphen_breaks(text: str, dec: Decoder) -> list[tuple[int, int, str]]:
     """``(start, end, joined word)`` of the words that a printed line end broke in two."""
     out, at = [], 0
@@ -173,6 +236,42 @@ def hyphen_breaks(text: str, dec: Decoder) -> list[tuple[int, int, str]]:
     return out
 
 
+def _alike(word: str, model: str) -> str:
+    return word.upper() if model.isupper() and len(model) > 1 else word.capitalize() if model[:1].isupper() else word
+
+
+def segment(stream: str, dec: Decoder, doubt: float) -> list[tuple[int, int, str, bool, bool]]:
+    """``(start, end, words, misread, broken)`` of the places of a de-lined stream that should read otherwise.
+
+    The cheapest path over the tokens by code length: a token stands, is read
+    through confusions, or is split into words; tokens parted by a blank or a
+    line end are joined, and the joined word is read through confusions too.
+    """
+    spans = [(m.start(), m.end(), m.group().lower()) for m in _TOKEN.finditer(stream)]
+    best: list[tuple] = [(0.0, -1, None)]
+    for j, (start, end, low) in enumerate(spans):
+        cost, change = dec.token(low, doubt)
+        top = (best[j][0] + cost, j, change)
+        for parts in (2, 3):
+            i = j - parts + 1
+            if i < 0 or not spans[i + 1][0] > spans[i][1] or not _GAP.fullmatch(stream, spans[i][1], spans[i + 1][0]):
+                break
+            if _TIED.match(stream, end) or i and _TIED.match(stream, spans[i][0] - 1) or stream[start].isupper() and not stream[spans[i][1] - 1].isupper():
+                break
+            got = dec.joined(tuple(x[2] for x in spans[i:j + 1]), doubt)
+            if got and best[i][0] + got[0] < top[0]:
+                top = (best[i][0] + got[0], i, got[1])
+        best.append(top)
+    out, j = [], len(spans)
+    while j > 0:
+        _, i, change = best[j]
+        if change:
+            start, end = spans[i][0], spans[j - 1][1]
+            out.append((start, end, *change, "\n" in stream[start:end]))
+        j = i
+    return out[::-1]
+
+
 def decode(text: str, conf: float | None, dec: Decoder) -> tuple[str, bool, bool]:
     """``(repaired stream, has broken words, has misread words)`` of one text."""
     text = one_form(text)
@@ -183,21 +282,13 @@ def decode(text: str, conf: float | None, dec: Decoder) -> tuple[str, bool, bool
         at = b
     stream = "".join(joined) + text[at:]
     doubt = 1.0 if conf is None or conf >= 0.9 else 2.0
-    misread = False
-
-    def fix(m):
-        nonlocal misread
-        word = m.group()
-        low = word.lower()
-        if not any(c.isalpha() for c in low):
-            return word
-        right = dec.read(low, doubt)
-        if right is None:
-            return word
-        misread = True
-        return right.upper() if word.isupper() and len(word) > 1 else right.capitalize() if word[:1].isupper() else right
-
-    return _TOKEN.sub(fix, stream), bool(breaks), misread
+    out, at, broken, misread = [], 0, bool(breaks), False
+    for a, b, words, wrong, parted in segment(stream, dec, doubt):
+        out += [stream[at:a], _alike(words, stream[a:b])]
+        at = b
+        misread |= wrong
+        broken |= parted
+    return "".join(out) + stream[at:], broken, misread
 
 
 def paragraphs(lines: list[str]) -> list[str]:

@@ -56,3 +56,15 @@ def test_many_confusions():
     dec = S.Decoder({"modernization": 400, "dismemberment": 90, "bridge": 300})
     for seen, meant in (("rn0derni2ati0n", "modernization"), ("clisrnernberrnent", "dismemberment"), ("mast", None)):
         assert dec.read(seen) == meant, seen
+
+
+def test_split_and_merged_words():
+    words = {"the": 60000, "of": 30000, "was": 9000, "bridge": 300, "harbour": 200, "opened": 150, "modern": 90, "hafen": 60, "turm": 50, "in": 20000, "inhabitants": 40, "a": 30000, "long": 400, "along": 500}
+    dec = S.Decoder(words)
+    for seen, meant, broken, misread in (
+            ("thebridge was opened", "the bridge was opened", False, False), ("the bri dge was opened", "the bridge was opened", False, False),
+            ("The har\nbour was opened", "The harbour was opened", True, False), ("ofthe har bour", "of the harbour", False, False),
+            ("Thebr1dge was opened", "The bridge was opened", False, True), ("the rnod ern bridge", "the modern bridge", False, True),
+            ("the in habitants", "the inhabitants", False, False), ("a long bridge in the harbour", None, False, False),
+            ("hafenturm was opened", None, False, False), ("the bridge\nwas opened", None, False, False), ("the bridge's harbour", None, False, False)):
+        assert S.decode(seen, 0.9, dec) == (meant or seen, broken, misread), seen
