@@ -3,8 +3,9 @@
 ``merged_schema`` infers one schema over all documents (conflicting types stay
 open), ``array_levels`` lists every array level in it, and ``flatten_levels``
 explodes each level into a child table that carries the parent's surrogate key
-and the array ordinal. ``edge_children`` applies this to document hypergraphs,
-whichever exporter wrote them.
+and the array ordinal. ``edge_children`` reads document hypergraphs, whichever
+exporter wrote them: by the merged schema, but with its own explode, whose rows
+are linked by ``edge_id``.
 """
 
 from __future__ import annotations
