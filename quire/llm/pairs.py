@@ -123,9 +123,9 @@ def describe(question: str, answer: str):
              float(bool(raw) and raw[-1].isalnum()), float(covers > 0.5 and bool(extra)),
              float(not ended and words >= 3 and opens))
     grams = []
-    for t in at[:60]:
+    for t in at:
         grams.append(zlib.crc32(t.encode("utf-8", "replace")) & ((1 << BITS) - 1))
-    for x, y in zip(at[:60], at[1:61]):
+    for x, y in zip(at, at[1:]):
         grams.append(zlib.crc32(f"{x} {y}".encode("utf-8", "replace")) & ((1 << BITS) - 1))
     for k in (1, 2, 3, 4):
         grams.append(zlib.crc32(f"$ {raw[-k:]}".encode("utf-8", "replace")) & ((1 << BITS) - 1))

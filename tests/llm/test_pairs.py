@@ -41,3 +41,11 @@ def test_frames(spark):
     got = {(r.result_id, r.defect) for r in pairs.defects(df, "result_id", "question", "predicted_answer", "ground_truth", "status").collect()}
     assert {(900, "empty"), (901, "empty"), (903, "empty")} <= got and not any(k == 902 for k, _ in got)
     assert pairs.defects(df.limit(0), "result_id", "question", "predicted_answer", "ground_truth", "status").count() == 0
+
+
+def test_grams_of_the_whole_answer():
+    from quire.llm.pairs import describe
+    long = " ".join(["the harbour was opened"] * 20)
+    grams = describe("What happened?", f"{long} and I cannot determine this from the pages. The end.")[0]
+    other = describe("What happened?", f"{long} and boats carried timber along the canal. The end.")[0]
+    assert sorted(grams) != sorted(other)
