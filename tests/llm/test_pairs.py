@@ -49,3 +49,17 @@ def test_grams_of_the_whole_answer():
     grams = describe("What happened?", f"{long} and I cannot determine this from the pages. The end.")[0]
     other = describe("What happened?", f"{long} and boats carried timber along the canal. The end.")[0]
     assert sorted(grams) != sorted(other)
+
+
+def test_the_classifier_decides(model):
+    """Without its weights no pair is defective, and the n-grams take part: unseen wording of a refusal is weighed by them."""
+    import numpy as np
+
+    asked = [QUESTIONS[0]] * 4
+    answers = ["I am unable to determine this from the images.", QUESTIONS[0], "Many boats left the harbour before noon, and few cam", "N/A"]
+    assert pairs.decide(model, asked, answers, [None] * 4) == ["refusal", "copy", "truncated", "empty"]
+    off = dict(model, dense=np.zeros_like(model["dense"]), grams=np.zeros_like(model["grams"]), threshold=np.ones(len(pairs.LABELS)))
+    assert pairs.decide(off, asked, answers, [None] * 4) == [None] * 4
+    bare = dict(model, grams=np.zeros_like(model["grams"]))
+    full, less = (pairs.logits(m, *pairs.features(asked, answers)) for m in (model, bare))
+    assert np.abs(full - less).max() > 0.1
