@@ -1,10 +1,11 @@
 """Texts cut off by a field limit or in mid-transfer.
 
-A stack automaton runs over the structural marks of a text (markup, brackets,
-quotes) and tells what is still open at its end. Together with broken
-characters or escapes at the end, an answer part that is missing, empty or
-breaks off, and the lengths and endings that are usual for the record's source,
-this decides whether the text stops before its end. Built-in expressions only.
+A stack automaton runs over the structural marks of a text (markup, labels of
+answer parts, brackets, quotes). Its final state tells what is still open and
+whether an answer part was reached and closed; broken characters or escapes
+break a text off in any state. Where the state leaves it open, the endings and
+lengths that are usual for the record's source decide: a terminator that its
+texts have and this one lacks. Built-in expressions only.
 """
 
 from __future__ import annotations
@@ -20,14 +21,14 @@ from quire.session import SMALL_ROWS, cut
 CUT_MARK = r"(?:\s|…|\.\.\.|\[(?:\.\.\.|…)\]|[\[(<](?i:truncated|cut|more)[\])>])+$"
 LABEL = r"(?s)^(?:.*\n)?\s*(?:[*_#]*)(?i:final answer|answer)(?:[*_]*)\s*:[*_]*(.*)$"
 TERMINATOR = r"[.!?。！？…:;][\"'”»’)\]}]*\s*$"
-MARKS = r"(?i)</?(?:think|answer)>|[()\[\]{}“”«»\"]"
+MARKS = r"(?im)</?(?:think|answer)>|^\s*[*_#]*(?:final )?answer[*_]*\s*:|[()\[\]{}“”«»\"]"
 
 
 def _code(mark: Column) -> Column:
     """One character for each structural mark; opening ones are letters and brackets."""
     m = F.lower(mark)
-    return (F.when(m == "<think>", "T").when(m == "</think>", "t").when(m == "<answer>", "A").when(m == "</answer>", "a")
-            .otherwise(m))
+    return (F.when(F.length(m) == 1, m).when(m == "<think>", "T").when(m == "</think>", "t").when(m == "<answer>", "A").when(m == "</answer>", "a")
+            .otherwise("L"))
 
 
 def open_marks(text: Column) -> Column:
@@ -35,7 +36,9 @@ def open_marks(text: Column) -> Column:
 
     A closing mark takes the nearest fitting open one and what was opened above
     it off the stack; one that fits nothing is passed over; a straight quote
-    closes one that is open and opens one otherwise. Null gives null.
+    closes one that is open and opens one otherwise. A label opens an answer
+    part (L) that ends with the text, over open markup only; a closing answer
+    tag leaves C, a part that is complete. Null gives null.
     """
     pairs = F.create_map(*[F.lit(x) for kv in {"t": "T", "a": "A", ")": "(", "]": "[", "}": "{", "”": "“", "»": "«"}.items() for x in kv])
     marks = F.regexp_extract_all(text, F.lit(MARKS), F.lit(0))
@@ -46,7 +49,8 @@ def open_marks(text: Column) -> Column:
         at = F.instr(F.reverse(stack), F.coalesce(opener, F.lit("\x00")))
         quote = F.instr(F.reverse(stack), F.lit('"'))
         keep = lambda n: stack.substr(F.lit(1), F.length(stack) - n)
-        return (F.when(opener.isNotNull(), F.when(at > 0, keep(at)).otherwise(stack))
+        return (F.when(opener.isNotNull(), F.when(at > 0, F.concat(keep(at), F.when(c == "a", "C").otherwise(""))).otherwise(stack))
+                .when(c == "L", F.concat(F.translate(stack, "LC()[]{}“«\"", ""), c))
                 .when((c == '"') & (quote == 1), keep(F.lit(1)))
                 .otherwise(F.concat(stack, c)))
 
@@ -54,21 +58,18 @@ def open_marks(text: Column) -> Column:
 
 
 def shapes(df: DataFrame, text: str, source: str) -> DataFrame:
-    """``df`` with the structural facts of ``text`` in the struct ``_s``."""
-    body = F.regexp_replace(F.col(text), CUT_MARK, "")
-    d = df.withColumn("_q_body", body)
-    label = F.regexp_extract("_q_body", LABEL, 1)
-    has_label = F.col("_q_body").rlike(LABEL)
-    words = F.size(F.regexp_extract_all(F.trim(label), F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0)))
+    """``df`` with the structural facts of ``text`` in the struct ``_q_s``."""
+    d = df.withColumn("_q_body", F.regexp_replace(F.col(text), CUT_MARK, "")).withColumn("_q_stack", open_marks(F.col("_q_body")))
+    labelled = F.contains("_q_stack", F.lit("L")) & ~F.contains("_q_stack", F.lit("C"))
+    label = F.when(labelled, F.trim(F.regexp_extract("_q_body", LABEL, 1)))
     return d.withColumn("_q_s", F.struct(
         F.length("_q_body").alias("chars"), F.octet_length("_q_body").alias("bytes"),
         (F.col("_q_body") != F.rtrim(F.col(text))).alias("marked"),
-        F.col("_q_body").rlike(r"(?i)</answer>$").alias("closed"),
-        has_label.alias("has_label"), F.trim(label).alias("label"), words.alias("label_words"),
+        F.col("_q_stack").alias("stack"), F.contains("_q_stack", F.lit("C")).alias("closed"), label.alias("label"),
         F.col("_q_body").rlike(TERMINATOR).alias("ended"),
         F.col("_q_body").rlike(r"(?:�|\\|&[a-zA-Z#]{0,6}|\\u[0-9a-fA-F]{0,3}|<[a-zA-Z/]{0,9})$").alias("broken"),
         F.coalesce(F.col(source), F.lit("")).alias("source"),
-    )).drop("_q_body")
+    )).drop("_q_body", "_q_stack")
 
 
 def baselines(shaped: DataFrame, least_share: float = 0.01, least_rows: int = 5) -> DataFrame:
@@ -79,7 +80,7 @@ def baselines(shaped: DataFrame, least_share: float = 0.01, least_rows: int = 5)
     most ``2 / least_share`` limits a source, so a row stays small.
     """
     s = shaped.select("_q_s.*")
-    per = s.groupBy("source").agg(F.count("*").alias("n"), F.avg((F.col("closed") | F.col("has_label")).cast("int")).alias("answered"),
+    per = s.groupBy("source").agg(F.count("*").alias("n"), F.avg(F.col("stack").rlike("^[^TA]*[LC]").cast("int")).alias("answered"),
                                   F.avg(F.col("ended").cast("int")).alias("terminated"))
     unit = F.explode(F.array(F.struct(F.lit("c").alias("unit"), F.col("chars").alias("size")),
                              F.struct(F.lit("b").alias("unit"), F.col("bytes").alias("size"))))
@@ -113,19 +114,21 @@ def with_verdict(df: DataFrame, text: str, source: str, question: str | None = N
         d = join_lookup(keyed, facts.crossJoin(F.broadcast(total)), ["_q_source"], F.col("_q_n"), F.col("_q_all"), "left").drop("_q_source", "_q_n", "_q_all")
     s, b = F.col("_q_s"), F.col("_q_b")
     at_limit = F.coalesce(F.array_contains(b["char_limits"], s["chars"]) | F.array_contains(b["byte_limits"], s["bytes"]), F.lit(False))
-    opened = open_marks(F.col(text))
+    stack = s["stack"]
     fold = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "")
     restates = F.coalesce(fold(F.col(question)) == fold(s["label"]), F.lit(False)) if question else F.lit(False)
     closed_list = s["label"].rlike(r"[\])}]$")
-    label_cut = ((s["label"] == "") | (open_marks(s["label"]) != "") | s["marked"] & ~s["ended"] | ~s["ended"] & at_limit & ~closed_list
-                 | ~s["ended"] & (s["label_words"] >= 5) & ~restates & ~closed_list)
+    words = F.size(F.regexp_extract_all(s["label"], F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0)))
+    # A labelled part ends with the text: in its terminator, or as a phrase too short to need one.
+    unfinished = (s["label"] == "") | ~s["ended"] & ~closed_list & (s["marked"] | at_limit | (words >= 5) & ~restates) | s["marked"] & ~s["ended"]
+    # Without an answer part the text lacks the ending its source's texts have: the part itself, or a terminator.
     no_part = F.when(F.coalesce(b["answered"], F.lit(1.0)) >= 0.3, F.lit(True)) \
-        .otherwise((opened != "") | at_limit & ~s["ended"] | s["marked"] | ~s["ended"] & (b["terminated"] >= 0.7))
+        .otherwise((stack != "") | at_limit & ~s["ended"] | s["marked"] | ~s["ended"] & (b["terminated"] >= 0.7))
     verdict = (F.when(F.col(text).isNull(), F.lit(None).cast("boolean"))
+               .when(stack.rlike("[TA]"), F.lit(True))
                .when(s["closed"], F.lit(False))
-               .when(s["broken"], F.lit(True))
-               .when(opened.rlike("[TA]"), F.lit(True))
-               .when(s["has_label"], label_cut)
+               .when(s["broken"] | stack.rlike("L."), F.lit(True))
+               .when(F.contains(stack, F.lit("L")), unfinished)
                .otherwise(no_part))
     return d.withColumn("cut", verdict).drop("_q_s", "_q_b")
 

@@ -29,5 +29,16 @@ def test_limits_are_learned_by_source(spark):
 
 
 def test_automaton(spark):
-    for text, left in (("(a [b] c", "("), ("<think>(x", "T("), ("<think>(x</think>", ""), ('say "so', '"'), ("a) b", ""), ("", ""), ("“ [ ”", "")):
+    for text, left in (("(a [b] c", "("), ("<think>(x", "T("), ("<think>(x</think>", ""), ('say "so', '"'), ("a) b", ""), ("", ""), ("“ [ ”", ""), ("(x\nAnswer: (y", "L("), ("<answer>(x</answer>", "C"), ("<think>(\nAnswer: y", "TL"), ("Answer: a\n**Final answer:** [b]", "L"), ("no answer: here", "")):
         assert spark.createDataFrame([(text,)], "t string").select(open_marks(F.col("t")).alias("o")).first().o == left
+
+
+def test_the_automaton_decides(spark, monkeypatch):
+    """With an empty stack in its place the verdicts differ, on cut and on whole texts."""
+    from quire.llm import truncation
+
+    df = frame(spark, WHOLE * 3 + CUT)
+    want = [r.cut for r in with_verdict(df, "prediction", "run_source", "question").orderBy("id").collect()]
+    monkeypatch.setattr(truncation, "open_marks", lambda text: F.when(text.isNotNull(), F.lit("")))
+    got = [r.cut for r in with_verdict(df, "prediction", "run_source", "question").orderBy("id").collect()]
+    assert sum(a != b for a, b in zip(want, got)) >= 5
