@@ -1,10 +1,12 @@
 """One consistent form for texts that read alike but differ in their characters.
 
 Irregular texts are look-alike mapped by built-in expressions (widths, spaces,
-letters of other alphabets inside Latin words), grouped under the
-accent-sensitive collation UNICODE, in which composed and decomposed accents
-are equal and invisible characters do not count, and every class is given one
-deterministic member, which is joined back.
+letters of other alphabets inside Latin words). All texts, regular ones as they
+stand, are grouped under the accent-sensitive collation UNICODE, in which
+composed and decomposed accents are equal and invisible characters do not
+count. Every class is given one deterministic member, a regular one if it has
+any, which is joined back. Only a class without a regular member is given a
+form made from its least member, without marks and with accents composed.
 """
 
 from __future__ import annotations
@@ -134,33 +136,57 @@ def canonical(df: DataFrame, text: str, out: str = "canonical") -> DataFrame:
 
     Null stays null and empty stays empty; regular texts, whole Cyrillic,
     Greek or Chinese texts with their own punctuation, superscripts, fractions,
-    quotes, dashes and line ends stay as they are. Equal texts get equal forms
-    in any row, and running the operator on its own output changes nothing.
-    Regular texts are members of their class as they stand, so only irregular
-    ones are grouped; no texts are dropped, whatever their number or length.
+    quotes, dashes and line ends stay as they are, but for regular texts that
+    are equal under the collation, which take the least of them. Equal texts
+    get equal forms in any row, and running the operator on its own output
+    changes nothing; no texts are dropped, whatever their number or length.
     """
     rows = df.drop(out)
-    irregular = _irregular(text)
-    return rows.filter(~irregular).withColumn(out, F.col(text)).unionByName(_fixed(rows.filter(irregular), text, out))
+    odd, classes = _classes(rows, text)
+    regular = rows.filter(~_irregular(text))
+    same = regular.withColumn(out, F.col(text))
+    return same.unionByName(_joined(odd, classes, "_q_odds", out).select(*rows.columns, out)) if _settled(classes) else \
+        _joined(regular.withColumn("_q_class", F.collate(F.col(text), "UNICODE")), classes.filter("_q_several"), "_q_regulars", "_q_c").select(
+            *rows.columns, F.coalesce("_q_c", F.col(text)).alias(out)).unionByName(_joined(odd, classes, "_q_odds", out).select(*rows.columns, out))
 
 
 def _irregular(text: str) -> Column:
     return F.coalesce(F.col(text).rlike(SUSPECT) & F.col(text).rlike(IRREGULAR), F.lit(False))
 
 
-def _fixed(rows: DataFrame, text: str, out: str) -> DataFrame:
-    """Irregular ``rows`` with the one member of their class; mapped once, kept for the uses that follow."""
-    odd = cut(rows.withColumn("_q_class", F.collate(mapped(F.col(text)), "UNICODE")))
-    sizes = odd.groupBy("_q_class", F.collate(F.col("_q_class"), "UTF8_BINARY").alias("_q_v")).agg(F.count("*").alias("_q_n"))
-    seeds = sizes.select("_q_class", composed(F.col("_q_v")).alias("_q_v"), F.lit(0).cast("bigint").alias("_q_n"))
-    members = sizes.unionByName(seeds).withColumn(
-        "_q_odd", F.length("_q_v") - F.length(F.regexp_replace("_q_v", rf"[\u0300-\u036F{INVISIBLE}]", "")))
-    classes = members.groupBy("_q_class").agg(F.min_by("_q_v", F.struct("_q_odd", F.length("_q_v"), "_q_v")).alias(out), F.sum("_q_n").alias("_q_w"))
-    total = odd.agg(F.count("*").alias("_q_all"))
-    look = cut(classes.crossJoin(F.broadcast(total)))  # one row: a scalar
-    return join_lookup(odd, look, ["_q_class"], F.col("_q_w"), F.col("_q_all")).select(*rows.columns, out)
+def _classes(rows: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
+    """Irregular ``rows`` with their class, mapped once and kept; and the classes that
+    hold an irregular or several different regular texts, with their member."""
+    odd = cut(rows.filter(_irregular(text)).withColumn("_q_v", mapped(F.col(text))).withColumn("_q_class", F.collate("_q_v", "UNICODE")))
+    marks = F.length("v") - F.length(F.regexp_replace("v", rf"[\u0300-\u036F{INVISIBLE}]", ""))
+    ours = odd.select(F.col("_q_v").alias("v"), F.lit(1).alias("odd"), _irregular("_q_v").alias("bad"))
+    theirs = rows.filter(F.col(text).isNotNull() & ~_irregular(text)).select(F.col(text).alias("v"), F.lit(0).alias("odd"), F.lit(False).alias("bad"))
+    every = ours.unionByName(theirs)
+    rank = F.struct("bad", F.when(F.col("bad"), marks).otherwise(0), F.length("v"), "v")
+    own = F.when(F.col("odd") == 0, F.col("v"))
+    made = every.groupBy(F.collate("v", "UNICODE").alias("_q_class")).agg(
+        F.min(F.struct(rank.alias("r"), F.col("v").alias("m"))).alias("b"), F.sum("odd").alias("_q_odds"), F.count(own).alias("_q_regulars"), F.min(own).alias("lo"), F.max(own).alias("hi"))
+    member = F.when(F.col("b.r.bad"), composed(F.col("b.m"))).otherwise(F.col("b.m"))
+    several = F.coalesce(F.col("lo") != F.col("hi"), F.lit(False))
+    return odd, cut(made.filter((F.col("_q_odds") > 0) | several).select("_q_class", member.alias("_q_m"), "_q_odds", "_q_regulars", several.alias("_q_several")))
+
+
+def _settled(classes: DataFrame) -> bool:
+    """Whether no two different regular texts share a class, so that regular rows need no join."""
+    return classes.filter("_q_several").isEmpty()
+
+
+def _joined(rows: DataFrame, classes: DataFrame, weight: str, out: str) -> DataFrame:
+    total = classes.agg(F.sum(weight).alias("_q_all"))
+    look = classes.select("_q_class", F.col("_q_m").alias(out), F.col(weight).alias("_q_w")).crossJoin(F.broadcast(total))  # one row: a scalar
+    return join_lookup(rows, look, ["_q_class"], F.col("_q_w"), F.col("_q_all"), "left")
 
 
 def changed(df: DataFrame, text: str) -> DataFrame:
     """The rows of ``df`` whose text is not in the consistent form."""
-    return _fixed(df.filter(_irregular(text)), text, "_canonical").filter(F.col("_canonical") != F.col(text)).drop("_canonical")
+    odd, classes = _classes(df, text)
+    out = _joined(odd, classes, "_q_odds", "_canonical")
+    if not _settled(classes):
+        regular = df.filter(~_irregular(text)).withColumn("_q_class", F.collate(F.col(text), "UNICODE")).withColumn("_q_v", F.col(text))
+        out = out.unionByName(_joined(regular, classes.filter("_q_several"), "_q_regulars", "_canonical"))
+    return out.filter(F.col("_canonical") != F.col(text)).select(*df.columns)

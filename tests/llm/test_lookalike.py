@@ -30,3 +30,19 @@ def test_equal_texts_get_equal_forms(spark):
 
 def test_kernel_form():
     assert one_form("Ѕandö") == "Sandö" and one_form("Этот сад") == "Этот сад" and one_form(unicodedata.normalize("NFD", "é")) == "é"
+
+
+def test_the_class_gives_the_form(spark):
+    """A regular member is chosen over the class, where the text alone would not tell: an accent below that is not composed by rule."""
+    df = spark.createDataFrame([(1, "\u1e96azar"), (2, "h\u0331azar"), (3, "h\u200b\u0331azar")], "id int, text string")
+    got = {r.id: r.canonical for r in canonical(df, "text").collect()}
+    assert got[1] == got[2] == got[3] == "\u1e96azar"
+    alone = {r.id: r.canonical for r in canonical(df.filter("id > 1"), "text").collect()}
+    assert alone[2] == alone[3] == "h\u0331azar"
+
+
+def test_regular_texts_equal_under_the_collation(spark):
+    df = spark.createDataFrame([(1, "a\x01b"), (2, "ab"), (3, "a\u200bb"), (4, None), (5, "")], "id int, text string")
+    got = {r.id: r.canonical for r in canonical(df, "text").collect()}
+    assert got[1] == got[2] == got[3] and got[4] is None and got[5] == ""
+    assert sorted(r.id for r in changed(df, "text").collect()) == sorted(i for i, t in ((1, "a\x01b"), (2, "ab"), (3, "a\u200bb")) if got[i] != t)
