@@ -6,17 +6,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import is_visual
+from quire.operators.nested import edge_tables
 from quire.schema import RELATED_TYPES, TITLE_TYPES, VISUAL_TYPES
 
 
 def edges(graphs: DataFrame) -> DataFrame:
-    """One row an edge held in the ``hyperedges`` column, in the order written."""
+    """One row an edge: those of the ``hyperedges`` column in the order written, and, where that
+    column is null, those of ``raw_record``, nested ones too; ``seq`` is an edge's place in its own list.
+    Repeated documents count once."""
     e = graphs.select("document_id", F.posexplode("hyperedges").alias("seq", "e"))
     e = e.groupBy("document_id", "seq", F.col("e.edge_id")).agg(F.first("e").alias("e"))  # repeated rows count once
     m = F.col("e.meta")
-    return e.select(F.col("document_id").alias("doc_id"), "seq", F.col("e.edge_id").alias("edge_id"), F.col("e.edge_type").alias("edge_type"),
-                    F.col("e.members").alias("members"), m["relation"].alias("relation"), m["page_num"].alias("page"), m["section_title"].alias("section_title"),
-                    m["num_visuals"].alias("num_visuals"), m["visual_types"].alias("visual_types"), m["statistics"].alias("statistics"))
+    own = e.select(F.col("document_id").alias("doc_id"), "seq", F.col("e.edge_id").alias("edge_id"), F.col("e.edge_type").alias("edge_type"),
+                   F.col("e.members").alias("members"), m["relation"].alias("relation"), m["page_num"].alias("page"), m["section_title"].alias("section_title"),
+                   m["num_visuals"].alias("num_visuals"), m["visual_types"].alias("visual_types"), m["statistics"].alias("statistics"))
+    return own.unionByName(_raw_edges(graphs)) if "raw_record" in graphs.columns else own
+
+
+def _raw_edges(graphs: DataFrame) -> DataFrame:
+    """The edges of ``raw_record``, from the flat tables that its nested records are turned into."""
+    t = edge_tables(graphs.filter("hyperedges is null and raw_record is not null"))
+
+    def gathered(name, *cols):
+        rows = F.array_sort(F.collect_list(F.struct("ordinal", "sk", *cols)))
+        return t[name].groupBy("parent_sk").agg(rows.alias(name))
+
+    types = gathered("visual_types", "type", "n").select("parent_sk", F.map_from_entries(F.transform("visual_types", lambda x: F.struct(x["type"], x["n"].cast("int")))).alias("visual_types"))
+    in_order = gathered("members", "block_id").select("parent_sk", F.transform("members", lambda x: x["block_id"]).alias("members"))
+    e = (t["edges"].withColumnRenamed("parent_sk", "_around").withColumnRenamed("sk", "parent_sk").join(in_order, "parent_sk", "left").join(types, "parent_sk", "left"))
+    meta = {name: F.try_variant_get("meta", f"$.{name}", kind) for name, kind in (("relation", "string"), ("page_num", "int"), ("section_title", "string"), ("num_visuals", "int"))}
+    stats = F.struct(*[F.try_variant_get("meta", f"$.statistics.{n}", k).alias(n) for n, k in (
+        ("has_caption", "boolean"), ("has_title", "boolean"), ("num_related_texts", "int"), ("total_blocks", "int"), ("page_span_size", "int"), ("is_cross_page", "boolean"), ("is_merged_block", "boolean"))])
+    return e.filter("edge_id is not null").select(
+        F.col("document_id").alias("doc_id"), F.col("ordinal").cast("int").alias("seq"), "edge_id", "edge_type", F.coalesce("members", F.array().cast("array<string>")).alias("members"),
+        meta["relation"].alias("relation"), meta["page_num"].alias("page"), meta["section_title"].alias("section_title"), meta["num_visuals"].alias("num_visuals"), "visual_types",
+        F.when(F.try_variant_get("meta", "$.statistics", "variant").isNotNull(), stats).alias("statistics"))
 
 
 def members(edge_rows: DataFrame) -> DataFrame:

@@ -102,9 +102,19 @@ def hypergraph_edges(spark, d):
 QUERIES = {f.__name__: f for f in (hypergraph_stats, hypergraph_members, graph_nodes, graph_pages, visual_types_map, edges_by_type, anchor_of_edge, caption_of_edge, related_of_edge,
                                    edge_text, co_members, title_of_anchor, sub_graph, page_grouping, visual_units, unit_stats, hypergraph_edges)}
 
-E = """WITH g AS (SELECT DISTINCT document_id, hyperedges FROM hypergraphs WHERE hyperedges IS NOT NULL),
+RAW = """WITH RECURSIVE rj AS (SELECT DISTINCT document_id, CAST(raw_record AS JSON) AS j FROM hypergraphs WHERE hyperedges IS NULL AND raw_record IS NOT NULL AND json_valid(raw_record)),
+ rl AS (SELECT document_id, CAST(coalesce(j->'$.hyperedges', j->'$.document.graph.hyperedges') AS JSON[]) AS l FROM rj),
+ re AS (SELECT document_id, unnest(range(len(l))) AS seq, unnest(l) AS e FROM rl UNION ALL
+   SELECT document_id, unnest(range(len(c))) AS seq, unnest(c) AS e FROM (SELECT document_id, CAST(e->'$.children' AS JSON[]) AS c FROM re) WHERE c IS NOT NULL),
+ rm AS (SELECT document_id, seq, e, CASE WHEN json_type(e->'$.meta') = 'VARCHAR' THEN CAST(e->>'$.meta' AS JSON) ELSE e->'$.meta' END AS m FROM re),
+"""
+E = RAW + """ g AS (SELECT DISTINCT document_id, hyperedges FROM hypergraphs WHERE hyperedges IS NOT NULL),
  e AS (SELECT document_id AS doc_id, unnest(range(len(hyperedges))) AS seq, unnest(hyperedges) AS e FROM g),
- ed AS (SELECT doc_id, CAST(seq AS INTEGER) AS seq, e.edge_id AS edge_id, e.edge_type AS edge_type, e.members AS members, e.meta.relation AS relation, e.meta.page_num AS page, e.meta.visual_types AS vt FROM e),
+ ed AS (SELECT doc_id, CAST(seq AS INTEGER) AS seq, e.edge_id AS edge_id, e.edge_type AS edge_type, e.members AS members, e.meta.relation AS relation, e.meta.page_num AS page, e.meta.section_title AS section_title, e.meta.visual_types AS vt FROM e
+   UNION ALL SELECT document_id, CAST(seq AS INTEGER), e->>'$.edge_id', e->>'$.edge_type',
+     list_transform(CAST(e->'$.members' AS JSON[]), lambda x: CASE json_type(x) WHEN 'NULL' THEN NULL WHEN 'OBJECT' THEN coalesce(x->>'$.block_id', x->>'$.ref.block.id') ELSE x->>'$' END),
+     m->>'$.relation', TRY_CAST(m->>'$.page_num' AS INTEGER), m->>'$.section_title',
+     CASE json_type(m->'$.visual_types') WHEN 'OBJECT' THEN CAST(m->'$.visual_types' AS MAP(VARCHAR, INTEGER)) WHEN 'ARRAY' THEN map_from_entries(list_transform(CAST(m->'$.visual_types' AS JSON[]), lambda x: {'k': x->>'$.type', 'v': CAST(x->>'$.count' AS INTEGER)})) END FROM rm),
  mb AS (SELECT * FROM (SELECT doc_id, edge_id, unnest(range(len(members))) AS pos, unnest(members) AS block_id FROM ed) WHERE block_id IS NOT NULL),
  nb AS (SELECT DISTINCT document_id, blocks FROM hypergraphs),
  n AS (SELECT DISTINCT doc_id, b.block_id AS block_id, b.block_type AS type, b.page AS page, b.bbox AS bbox, b.text AS text, b.rec_conf AS rec_conf FROM (SELECT document_id AS doc_id, unnest(blocks) AS b FROM nb)),
