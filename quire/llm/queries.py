@@ -38,8 +38,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _judged(spark: SparkSession, d: str) -> DataFrame:
-    runs = table(spark, d, "mmlb_example_results").select("result_id", "run_source", "question", "prediction").distinct()
-    return truncation.with_verdict(runs, "prediction", "run_source", "question")
+    return truncation.with_verdict(table(spark, d, "mmlb_example_results"), "prediction", "run_source", "question", ["result_id", "run_source"])
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

@@ -57,19 +57,24 @@ def open_marks(text: Column) -> Column:
     return F.aggregate(marks, F.lit(""), step)
 
 
-def shapes(df: DataFrame, text: str, source: str) -> DataFrame:
-    """``df`` with the structural facts of ``text`` in the struct ``_q_s``."""
+def shapes(df: DataFrame, text: str, source: str, question: str | None = None) -> DataFrame:
+    """``df`` with the structural facts of ``text`` in the struct ``_q_s``: all the verdict needs of it."""
     d = df.withColumn("_q_body", F.regexp_replace(F.col(text), CUT_MARK, "")).withColumn("_q_stack", open_marks(F.col("_q_body")))
     labelled = F.contains("_q_stack", F.lit("L")) & ~F.contains("_q_stack", F.lit("C"))
-    label = F.when(labelled, F.trim(F.regexp_extract("_q_body", LABEL, 1)))
+    d = d.withColumn("_q_label", F.when(labelled, F.trim(F.regexp_extract("_q_body", LABEL, 1))))
+    label = F.col("_q_label")
+    fold = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "")
     return d.withColumn("_q_s", F.struct(
-        F.length("_q_body").alias("chars"), F.octet_length("_q_body").alias("bytes"),
+        F.col(text).isNull().alias("absent"), F.length("_q_body").alias("chars"), F.octet_length("_q_body").alias("bytes"),
         (F.col("_q_body") != F.rtrim(F.col(text))).alias("marked"),
-        F.col("_q_stack").alias("stack"), F.contains("_q_stack", F.lit("C")).alias("closed"), label.alias("label"),
+        F.col("_q_stack").alias("stack"), F.contains("_q_stack", F.lit("C")).alias("closed"),
+        (label == "").alias("empty"), label.rlike(r"[\])}]$").alias("listed"),
+        F.size(F.regexp_extract_all(label, F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0))).alias("words"),
+        (F.coalesce(fold(F.col(question)) == fold(label), F.lit(False)) if question else F.lit(False)).alias("restates"),
         F.col("_q_body").rlike(TERMINATOR).alias("ended"),
         F.col("_q_body").rlike(r"(?:�|\\|&[a-zA-Z#]{0,6}|\\u[0-9a-fA-F]{0,3}|<[a-zA-Z/]{0,9})$").alias("broken"),
         F.coalesce(F.col(source), F.lit("")).alias("source"),
-    )).drop("_q_body", "_q_stack")
+    )).drop("_q_body", "_q_stack", "_q_label")
 
 
 def baselines(shaped: DataFrame, least_share: float = 0.01, least_rows: int = 5) -> DataFrame:
@@ -93,18 +98,21 @@ def baselines(shaped: DataFrame, least_share: float = 0.01, least_rows: int = 5)
     return per.join(limits, "source", "left")
 
 
-def with_verdict(df: DataFrame, text: str, source: str, question: str | None = None) -> DataFrame:
+def with_verdict(df: DataFrame, text: str, source: str, question: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """``df`` with the boolean ``cut``: ``text`` stops before its end (null text: null).
 
     Whole are texts whose answer part is closed, or whose labelled answer is
     complete: a short phrase, number or list needs no full stop, and neither
     does an answer that only repeats ``question``. Blanks and marks put behind
     a cut are looked through. Rows of a null source form a source of their own.
-    A column already named ``cut`` is replaced; all others stay. An empty table
-    gives no rows.
+    A column already named ``cut`` is replaced; all others stay, or only those of
+    ``keep``, in which case equal rows count once and no text is moved. An empty
+    table gives no rows.
     """
-    shaped = shapes(df.drop("cut"), text, source)
-    base = cut(baselines(shaped.filter(F.col(text).isNotNull())))
+    shaped = shapes(df.drop("cut"), text, source, question)
+    if keep:
+        shaped = cut(shaped.select(*keep, "_q_s").distinct())
+    base = cut(baselines(shaped.filter("not _q_s.absent")))
     facts = base.select(F.col("source").alias("_q_source"), F.struct("answered", "terminated", "char_limits", "byte_limits").alias("_q_b"), F.col("n").alias("_q_n"))
     if facts.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
         d = shaped.join(F.broadcast(facts.drop("_q_n")), F.col("_q_s.source") == F.col("_q_source"), "left").drop("_q_source")
@@ -115,16 +123,12 @@ def with_verdict(df: DataFrame, text: str, source: str, question: str | None = N
     s, b = F.col("_q_s"), F.col("_q_b")
     at_limit = F.coalesce(F.array_contains(b["char_limits"], s["chars"]) | F.array_contains(b["byte_limits"], s["bytes"]), F.lit(False))
     stack = s["stack"]
-    fold = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "")
-    restates = F.coalesce(fold(F.col(question)) == fold(s["label"]), F.lit(False)) if question else F.lit(False)
-    closed_list = s["label"].rlike(r"[\])}]$")
-    words = F.size(F.regexp_extract_all(s["label"], F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0)))
     # A labelled part ends with the text: in its terminator, or as a phrase too short to need one.
-    unfinished = (s["label"] == "") | ~s["ended"] & ~closed_list & (s["marked"] | at_limit | (words >= 5) & ~restates) | s["marked"] & ~s["ended"]
+    unfinished = s["empty"] | ~s["ended"] & (s["marked"] | ~s["listed"] & (at_limit | (s["words"] >= 5) & ~s["restates"]))
     # Without an answer part the text lacks the ending its source's texts have: the part itself, or a terminator.
     no_part = F.when(F.coalesce(b["answered"], F.lit(1.0)) >= 0.3, F.lit(True)) \
         .otherwise((stack != "") | at_limit & ~s["ended"] | s["marked"] | ~s["ended"] & (b["terminated"] >= 0.7))
-    verdict = (F.when(F.col(text).isNull(), F.lit(None).cast("boolean"))
+    verdict = (F.when(s["absent"], F.lit(None).cast("boolean"))
                .when(stack.rlike("[TA]"), F.lit(True))
                .when(s["closed"], F.lit(False))
                .when(s["broken"] | stack.rlike("L."), F.lit(True))
