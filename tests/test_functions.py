@@ -21,7 +21,7 @@ def test_matching_of_units(spark):
 
 
 def test_fuzzy_scores(spark):
-    for kw, text, least in (("modern", "the m0dern hall", 1.0), ("corner", "comer", 1.0), ("abc", "abd", 0.0), ("river bridge", "the river brigde", 0.8), ("", "x", 0.0)):
+    for kw, text, least in (("modern", "the m0dern hall", 1.0), ("corner", "comer", 1.0), ("abc", "abd", 0.0), ("river bridge", "the river brigde", 0.8), ("", "x", 1.0)):
         got = one(spark, X.fuzzy_score(F.col("k"), F.col("t")), k=kw, t=text)
         assert got >= least and (least > 0 or got == 0)
 
@@ -81,3 +81,34 @@ def test_predict_turns_failures_into_rows(spark):
     m = df.withColumn("messages", M.messages(F.col("q"), F.col("texts"), F.array().cast("array<string>")))
     assert sorted(r.answer for r in M.predict(m, M.ModelConfig()).collect()) == ["<answer>q2</answer>", "<answer>t\nq1</answer>"]
     assert {r.status for r in M.predict(m, M.ModelConfig(kind="failing")).collect()} == {"error"}
+
+
+def test_rules_of_the_evaluation(spark):
+    for text, want in (("12 minutes", "12"), ("5 million miles", "5"), ("$1,200 (est.)", "1200"), ("'63%'", "63"), ("3 km", "3 k"), ("10 mm", "10"), ("£4 billion", "4"), ("units", "units")):
+        assert one(spark, S.clean_answer(F.col("t")), t=text) == want, text
+    for text, want in (("12", True), ("12-14", True), ("12 14", True), ("notes.py", True), ("page 4", True), ("at 5 p.m. today", True), ("2004-01-02", True), ("a@b.org", True), ("report.pdf", False), ("12.5", False)):
+        assert one(spark, S.needs_exact(F.col("t")), t=text) is want, text
+    for g, p, want in (("0.5", "50", True), ("0.5%", "0.5", True), ("100", "100.9", True), ("100", "102", False), ("0.001", "0.004", True), ("x", "1", False)):
+        assert one(spark, S.float_equal(F.col("a"), F.col("b")), a=g, b=p) is want, (g, p)
+    assert one(spark, S.typed_score(F.col("a"), F.col("b"), F.lit("List")), a="['1', '2']", b="['2', '1']") == 0.0
+    assert one(spark, S.typed_score(F.col("a"), F.col("b"), F.lit("List")), a="[a, b]", b="[a, b]") == 1.0
+    assert one(spark, S.smart_match(F.col("a"), F.col("b")), a="50%", b="It is 50 in all") is True
+
+
+def test_cues_of_questions_and_answers(spark):
+    for q, want in (("In figure 3, how many bars are there?", "local"), ("What is the overall share?", "global"), ("How many bars are there?", "default")):
+        assert one(spark, X.query_scope(F.col("t")), t=q) == want
+    f = one(spark, X.reference_flags(F.col("t")), t="see Fig. 3, sec. 2 and p. 4")
+    assert (f.figure, f.table, f.section, f.page, f.equation) == (True, False, False, True, False)  # "sec." needs a word character behind its dot
+    assert one(spark, X.extract_answer(F.col("t")), t="Final answer: 7") == "Final answer: 7"  # no form gives over two characters
+    assert one(spark, X.extract_answer(F.col("t")), t="Final answer: seven") == "seven"
+    assert one(spark, X.extract_count(F.col("t")), t="Final answer: 7 bars") == 7
+    for text, unit, hit in (("Figure 12: x", "1.2", False), ("Figure 1.2: x", "1.2", True), ("Fig. l0", "10", True), ("F1g 3", "3", True), ("T@ble 3", "3", True)):
+        assert one(spark, X.match_unit(F.col("t"), unit), t=text) is hit, text
+        got = spark.createDataFrame([(text, unit)], "t string, u string").select(F.lower("t").rlike(X.unit_pattern_column(F.col("u"), F.lit(None).cast("string"))).alias("v")).first().v
+        assert got is hit, text
+
+
+def test_titles(spark):
+    for t, w, hit in (("3 Water Management", "water management", True), ("Water Managment", "Water Management", True), ("Roads", "Water", False), ("", "x", False), (None, "x", False)):
+        assert one(spark, X.match_title(F.col("a"), F.col("b")), a=t, b=w) is hit, (t, w)
