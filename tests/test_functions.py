@@ -88,7 +88,7 @@ def test_rules_of_the_evaluation(spark):
         assert one(spark, S.clean_answer(F.col("t")), t=text) == want, text
     for text, want in (("12", True), ("12-14", True), ("12 14", True), ("notes.py", True), ("page 4", True), ("at 5 p.m. today", True), ("2004-01-02", True), ("a@b.org", True), ("report.pdf", False), ("12.5", False)):
         assert one(spark, S.needs_exact(F.col("t")), t=text) is want, text
-    for g, p, want in (("0.5", "50", True), ("0.5%", "0.5", True), ("100", "100.9", True), ("100", "102", False), ("0.001", "0.004", True), ("x", "1", False)):
+    for g, p, want in (("0.5", "50", True), ("0.5%", "0.5", True), ("100", "100.9", True), ("100", "102", False), ("0.01", "0.0149", True), ("0.001", "0.004", False), ("x", "1", False)):
         assert one(spark, S.float_equal(F.col("a"), F.col("b")), a=g, b=p) is want, (g, p)
     assert one(spark, S.typed_score(F.col("a"), F.col("b"), F.lit("List")), a="['1', '2']", b="['2', '1']") == 0.0
     assert one(spark, S.typed_score(F.col("a"), F.col("b"), F.lit("List")), a="[a, b]", b="[a, b]") == 1.0
