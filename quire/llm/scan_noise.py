@@ -1,12 +1,12 @@
 """Noise in text read from scanned pages: broken words, misread characters, running lines, page numbers.
 
-Word counts over the whole corpus give a lexicon. A block's text is de-lined to
-one character stream: words broken at a hyphen are joined first, then the
-cheapest path by code length decodes the stream into words of the lexicon. On
-it a word may be joined across a stray blank or a line end, run-together words
-be split, and either be read through the confusions of recognition. Page
-furniture is found over all pages of a document, and paragraphs are chosen by
-dynamic programming over the lines that are left.
+Word counts over the whole corpus give a lexicon. A block's text is one stream
+of characters, and the cheapest path by code length decodes it into words of
+the lexicon. Its edges let a word stand, join its parts across a hyphen, a
+stray blank or a line end, split words that run together, and read any of these
+through the confusions of recognition. Page furniture is found over all pages
+of a document, and paragraphs are chosen by dynamic programming over the lines
+that are left.
 """
 
 from __future__ import annotations
@@ -34,13 +34,14 @@ CONFUSIONS = [
 ]
 CONFUSED = 8.0  # bits of a confusion
 PARTED = 12.0  # bits of a blank too many or too few
+APART = 200.0  # bits of two words that keep a hyphen and a blank or line end between them, where they could be one
 COMMON = 1 / 500  # share of all running words from which a word is no part of a compound
 SUSPENDED = frozenset("and or to und oder bis et ou y o e".split())
 WORD = r"\p{L}+(?:['’-]\p{L}+)*"
-_BREAK = re.compile(r"([^\W\d_]+)[-¬‐]([ \t]*\r?\n[ \t]*| {1,2})([^\W\d_]+)")
 _TOKEN = re.compile(r"[^\W_](?:[\w@!|$]*[\w@$])?|[@!$|][\w@!|$]*\w")
-_GAP = re.compile(r"[ \t]{1,2}|[ \t]*\r?\n[ \t]*")
-_TIED = re.compile(r"['’-]")
+_GAP = re.compile(r"([-¬‐])?(?:[ \t]{1,2}|([ \t]*\r?\n[ \t]*))")
+BLANK, LINE, HYPHEN, HYPHEN_LINE = 1, 2, 3, 4  # what may stand between the parts of a word
+TIES = frozenset("'’-")
 _SIGN = re.compile(r"[@!0-9|$]")
 _BY_END = {}
 for _seen, _meant in CONFUSIONS:
@@ -215,122 +216,138 @@ class Decoder:
             return None
         return self.bits(right) + CONFUSED + PARTED * (len(parts) - 1), (right, True)
 
-
-def hyphen_breaks(text: str, dec: Decoder) -> list[tuple[int, int, str]]:
-    """``(start, end, joined word)`` of the words that a printed line end broke in two."""
-    out, at = [], 0
-    while m := _BREAK.search(text, at):
-        a, gap, b = m.groups()
-        at = m.end()
-        low = (a + b).lower()
-        known = low in dec.counts or dec.read(low, 3.0) is not None
-        if b[0].isupper() and not a.isupper():
-            continue
-        if b.lower() in SUSPENDED and not (known and dec.counts.get(low, 0) * 20 > dec.counts.get(a.lower(), 0)):
-            continue
-        if f"{a}-{b}".lower() in dec.counts and not known:
-            continue
-        if known or "\n" in gap or not (a.lower() in dec.counts and b.lower() in dec.counts):
-            out.append((m.start(), m.end(), a + b))
-        at = m.start(3) if not out or out[-1][1] != m.end() else m.end()
-    return out
+    def hyphened(self, a: str, b: str, line_end: bool, doubt: float) -> tuple[float, tuple[str | None, bool]] | None:
+        """Bits and ``(word, misread)`` of two tokens with a hyphen and a blank or line end between them, if
+        they may be one word; the word is None if it reads as its parts do. Suspended compounds, compounds
+        known with their hyphen and names behind a hyphen are no such words, nor two known words on one
+        line that are none together."""
+        if not (any(map(str.isalpha, a)) and any(map(str.isalpha, b))) or b[0].isupper() and not a.isupper():
+            return None
+        counts, left, right = self.counts, a.lower(), b.lower()
+        low = left + right
+        known = low in counts or self.read(low, 3.0) is not None
+        if not known and not (a[-1].isalpha() and b[0].isalpha()):
+            return None
+        if right in SUSPENDED and not (known and counts.get(low, 0) * 20 > counts.get(left, 0)):
+            return None
+        if not known and (f"{left}-{right}" in counts or not line_end and left in counts and right in counts):
+            return None
+        if not known and left in counts and right in counts:  # a compound that keeps its hyphen
+            return self.bits(left) + self.bits(right), (f"{left}-{right}", False)
+        bits, change = self.token(low, doubt)
+        return bits, change or (None, False)
 
 
 def _alike(word: str, model: str) -> str:
     return word.upper() if model.isupper() and len(model) > 1 else word.capitalize() if model[:1].isupper() else word
 
 
+def _gap(stream: str, a: int, b: int) -> int:
+    """What stands between two tokens that may be parts of one word; 0 for anything else."""
+    if b - a == 1 and stream[a] == " ":
+        return BLANK
+    m = _GAP.fullmatch(stream, a, b) if b > a else None
+    return 0 if m is None else (HYPHEN_LINE if m[2] is not None else HYPHEN) if m[1] else LINE if m[2] is not None else BLANK
+
+
 def segment(stream: str, dec: Decoder, doubt: float) -> list[tuple[int, int, str, bool, bool]]:
-    """``(start, end, words, misread, broken)`` of the places of a de-lined stream that should read otherwise.
+    """``(start, end, words, misread, broken)`` of the places of a stream that should read otherwise.
 
     The cheapest path over the tokens by code length: a token stands, is read
-    through confusions, or is split into words; tokens parted by a blank or a
-    line end are joined, and the joined word is read through confusions too.
+    through confusions, or is split into words; tokens parted by a hyphen at a
+    line end, a blank or a line end are joined, and the joined word is read
+    through confusions too. A word that is only joined keeps its characters.
     """
-    spans = [(m.start(), m.end(), m.group().lower()) for m in _TOKEN.finditer(stream)]
+    starts, ends, lows = [], [], []
+    for m in _TOKEN.finditer(stream):
+        starts.append(m.start())
+        ends.append(m.end())
+        lows.append(m.group().lower())
+    counts = dec.counts
+    known = [x in counts for x in lows]
+    gaps = [0] * len(lows)
     best: list[tuple] = [(0.0, -1, None)]
-    for j, (start, end, low) in enumerate(spans):
+    for j, low in enumerate(lows):
         cost, change = dec.token(low, doubt)
         top = (best[j][0] + cost, j, change)
-        for parts in (2, 3):
-            i = j - parts + 1
-            if i < 0 or not spans[i + 1][0] > spans[i][1] or not _GAP.fullmatch(stream, spans[i][1], spans[i + 1][0]):
-                break
-            if _TIED.match(stream, end) or i and _TIED.match(stream, spans[i][0] - 1) or stream[start].isupper() and not stream[spans[i][1] - 1].isupper():
-                break
-            got = dec.joined(tuple(x[2] for x in spans[i:j + 1]), doubt)
-            if got and best[i][0] + got[0] < top[0]:
-                top = (best[i][0] + got[0], i, got[1])
+        kind = gaps[j] = _gap(stream, ends[j - 1], starts[j]) if j else 0
+        if kind >= HYPHEN:
+            got = dec.hyphened(stream[starts[j - 1]:ends[j - 1]], stream[starts[j]:ends[j]], kind == HYPHEN_LINE, doubt)
+            if got:
+                top = min((top[0] + APART, j, change), (best[j - 1][0] + got[0], j - 1, got[1]), key=lambda x: x[0])
+        elif kind and (not (known[j] and known[j - 1]) or lows[j - 1] + low in counts) and _joinable(stream, starts, ends, j - 1, j):
+            got = dec.joined((lows[j - 1], low), doubt)
+            if got and best[j - 1][0] + got[0] < top[0]:
+                top = (best[j - 1][0] + got[0], j - 1, got[1])
+        if kind and j > 1 and gaps[j - 1] and (not (known[j] and known[j - 1] and known[j - 2]) or lows[j - 2] + lows[j - 1] + low in counts) and _joinable(stream, starts, ends, j - 2, j):
+            got = dec.joined((lows[j - 2], lows[j - 1], low), doubt)
+            if got and best[j - 2][0] + got[0] < top[0]:
+                top = (best[j - 2][0] + got[0], j - 2, got[1])
         best.append(top)
-    out, j = [], len(spans)
+    out, j = [], len(lows)
     while j > 0:
         _, i, change = best[j]
         if change:
-            start, end = spans[i][0], spans[j - 1][1]
-            out.append((start, end, *change, "\n" in stream[start:end]))
+            start, end = starts[i], ends[j - 1]
+            words = change[0] or "".join(stream[starts[k]:ends[k]] for k in range(i, j))
+            out.append((start, end, _alike(words, stream[start:end]) if change[0] else words, change[1], max(gaps[i + 1:j], default=0) > BLANK))
         j = i
     return out[::-1]
 
 
+def _joinable(stream, starts, ends, i: int, j: int) -> bool:
+    """Whether tokens i to j may be parts of one word: not tied to others by a sign, no capital inside."""
+    if ends[j] < len(stream) and stream[ends[j]] in TIES or starts[i] and stream[starts[i] - 1] in TIES:
+        return False
+    return all(not stream[starts[k]].isupper() or stream[ends[i] - 1].isupper() for k in range(i + 1, j + 1))
+
+
 def decode(text: str, conf: float | None, dec: Decoder) -> tuple[str, bool, bool]:
     """``(repaired stream, has broken words, has misread words)`` of one text."""
-    text = one_form(text)
-    joined, at = [], 0
-    breaks = hyphen_breaks(text, dec)
-    for a, b, word in breaks:
-        joined += [text[at:a], word]
-        at = b
-    stream = "".join(joined) + text[at:]
+    stream = one_form(text)
     doubt = 1.0 if conf is None or conf >= 0.9 else 2.0
-    out, at, broken, misread = [], 0, bool(breaks), False
+    out, at, broken, misread = [], 0, False, False
     for a, b, words, wrong, parted in segment(stream, dec, doubt):
-        out += [stream[at:a], _alike(words, stream[a:b])]
+        out += [stream[at:a], words]
         at = b
         misread |= wrong
         broken |= parted
     return "".join(out) + stream[at:], broken, misread
 
 
+_ENDED = re.compile(r"[.!?。！？:][\"'”»’)\]]*$")
+_LISTED = re.compile(r"(?:[•*–-]|\d+[.)])\s")
+STUMP = 1.5  # cost of a paragraph of one line that ends no sentence
+
+
 def paragraphs(lines: list[str]) -> list[str]:
     """Continuous paragraphs from the lines of a block, boundaries by dynamic programming.
 
     A boundary after a line costs little where the line ends a sentence, is
     short and the next begins with a capital or a list mark; joining across
-    such a place, or parting in mid-sentence, costs much. Every blank line parts.
+    such a place, or parting in mid-sentence, costs much, and so does a line
+    left alone. The state is whether the paragraph has one line so far, so the
+    time grows with the lines. Every blank line parts.
     """
-    keep = [x.strip() for x in lines]
-    text = [(i, x) for i, x in enumerate(keep) if x]
+    text = [(i, x) for i, x in enumerate(x.strip() for x in lines) if x]
     if not text:
         return []
     usual = sorted(len(x) for _, x in text)[len(text) // 2]
-    best, back = [0.0], [0]
-    for j in range(1, len(text) + 1):
-        cost, arg = math.inf, 0
-        run = 0.0
-        for i in range(j - 1, -1, -1):  # paragraph of lines i..j-1
-            if i < j - 1:
-                (p, x), (q, y) = text[i], text[i + 1]
-                run += 8.0 if q > p + 1 else 0.0
-                ended = bool(re.search(r"[.!?。！？:][\"'”»)]*$", x))
-                run += (2.5 if ended and len(x) < 0.7 * usual and y[:1].isupper() else 0.0) + (6.0 if re.match(r"(?:[•*–-]|\d+[.)])\s", y) and ended else 0.0)
-            open_end = 0.0
-            if j < len(text):
-                x, y = text[j - 1][1], text[j][1]
-                open_end = 0.0 if re.search(r"[.!?。！？:][\"'”»)]*$", x) else 4.0
-                open_end = 0.0 if text[j][0] > text[j - 1][0] + 1 else open_end
-                open_end += 0.0 if y[:1].isupper() or not y[:1].isalpha() else 4.0
-            c = best[i] + run + 1.0 + open_end
-            if c < cost:
-                cost, arg = c, i
-            if j - i > 400:
-                break
-        best.append(cost)
-        back.append(arg)
-    cuts, j = [], len(text)
-    while j > 0:
-        cuts.append((back[j], j))
-        j = back[j]
-    return [" ".join(x for _, x in text[a:b]) for a, b in reversed(cuts)]
+    ended = [bool(_ENDED.search(x)) for _, x in text]
+    one, more = (1.0, ()), (math.inf, ())  # cost and cuts so far; cuts as linked pairs
+    for k in range(1, len(text)):
+        (p, x), (q, y) = text[k - 1], text[k]
+        join = (8.0 if q > p + 1 else 0.0) + (2.5 if ended[k - 1] and len(x) < 0.7 * usual and y[:1].isupper() else 0.0) + (6.0 if ended[k - 1] and _LISTED.match(y) else 0.0)
+        part = 1.0 + (0.0 if ended[k - 1] or q > p + 1 else 4.0) + (0.0 if y[:1].isupper() or not y[:1].isalpha() else 4.0)
+        stump = 0.0 if ended[k - 1] else STUMP
+        closed = min((one[0] + stump, one[1]), more, key=lambda c: c[0])
+        one, more = (closed[0] + part, (closed[1], k)), min((one[0] + join, one[1]), (more[0] + join, more[1]), key=lambda c: c[0])
+    cuts, at = [len(text)], min((one[0] + (0.0 if ended[-1] else STUMP), one[1]), more, key=lambda c: c[0])[1]
+    while at:
+        at, k = at
+        cuts.append(k)
+    cuts = [0, *sorted(cuts)]
+    return [" ".join(x for _, x in text[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
 # ------------------------------------------------------------- page furniture
@@ -355,7 +372,7 @@ def page_lines(blocks: DataFrame) -> DataFrame:
                     F.when(F.col("bbox").isNull(), F.lit(None).cast("boolean"))
                     .otherwise((y2 <= TOP * PAGE_HEIGHT) | (y1 >= BOTTOM * PAGE_HEIGHT)).alias("margin"),
                     F.posexplode(lines).alias("line_no", "line"))
-            .filter(F.col("line").rlike(r"\S") & (F.length("line") <= 160)))
+            .filter(F.col("line").rlike(r"\S")))
 
 
 def furniture(blocks: DataFrame) -> DataFrame:

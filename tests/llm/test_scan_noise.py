@@ -59,12 +59,31 @@ def test_many_confusions():
 
 
 def test_split_and_merged_words():
-    words = {"the": 60000, "of": 30000, "was": 9000, "bridge": 300, "harbour": 200, "opened": 150, "modern": 90, "hafen": 60, "turm": 50, "in": 20000, "inhabitants": 40, "a": 30000, "long": 400, "along": 500}
+    words = {"the": 60000, "of": 30000, "was": 9000, "bridge": 300, "harbour": 200, "opened": 150, "modern": 90, "hafen": 60, "turm": 50, "in": 20000, "inhabitants": 40, "a": 30000, "long": 400, "along": 500, "quick": 300, "brown": 200, "annual": 150, "report": 400}
     dec = S.Decoder(words)
     for seen, meant, broken, misread in (
             ("thebridge was opened", "the bridge was opened", False, False), ("the bri dge was opened", "the bridge was opened", False, False),
             ("The har\nbour was opened", "The harbour was opened", True, False), ("ofthe har bour", "of the harbour", False, False),
             ("Thebr1dge was opened", "The bridge was opened", False, True), ("the rnod ern bridge", "the modern bridge", False, True),
             ("the in habitants", "the inhabitants", False, False), ("a long bridge in the harbour", None, False, False),
+            ("annual re-\nport of the br1-\ndge", "annual report of the bridge", True, True), ("har-\nb our was opened", "harbour was opened", True, False), ("thequick brown", "the quick brown", False, False),
+            ("ann ual report", "annual report", False, False), ("a long-\nharbour", "a long-harbour", True, False), ("long- harbour", None, False, False),
             ("hafenturm was opened", None, False, False), ("the bridge\nwas opened", None, False, False), ("the bridge's harbour", None, False, False)):
         assert S.decode(seen, 0.9, dec) == (meant or seen, broken, misread), seen
+
+
+def test_the_path_decides():
+    """Without joins, splits and confusions the stream stays as it is."""
+    dec = S.Decoder({"the": 60000, "bridge": 300, "harbour": 200, "was": 900})
+    seen = "thebridge was har bour br1dge bri-\ndge"
+    assert S.decode(seen, 0.9, dec)[0] == "the bridge was harbour bridge bridge"
+    dec.token, dec.joined, dec.hyphened = (lambda low, doubt: (dec.bits(low), None)), (lambda parts, doubt: None), (lambda a, b, line_end, doubt: None)
+    assert S.decode(seen, 0.9, dec) == (seen, False, False)
+
+
+def test_long_furniture_and_many_lines(spark):
+    long = "Proceedings of the northern harbour review " * 6
+    rows = [("d", p, p, [100.0, 40.0, 900.0, 70.0], "text", long, 0.9) for p in range(4)] + [("d", 90, 2, [100.0, 300.0, 900.0, 400.0], "text", "Boats carried timber.\n" + long + "\nalong the canal.", 0.9)]
+    df = spark.createDataFrame(rows, "doc_id string, block_id bigint, page int, bbox array<double>, block_type string, text string, rec_conf double")
+    assert {(r.block_id, r.noise) for r in S.noise(df).collect()} == {(k, "running_line") for k in (0, 1, 2, 3, 90)}
+    assert S.paragraphs(["some words"] * 5000) == [" ".join(["some words"] * 5000)]
