@@ -1,7 +1,7 @@
 """Held-out evaluation passages inside a training corpus.
 
-One Aho-Corasick automaton over the short word runs of all passages scans every
-document once. Its hits name a passage and a diagonal (place in the document
+One Aho-Corasick automaton over the short word runs of all passages, built once and
+sent to the tasks, scans every document once. Its hits name a passage and a diagonal (place in the document
 less place in the passage); along each diagonal the passage is compared word by
 word, matching runs are chained over replaced, misread, split and merged words,
 and chains that are long and dense enough, or pieces that together make up the
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm.lookalike import one_form
-from quire.session import spread
+from quire.session import cut, spread
 
 SEED = 4  # words a run of the automaton
 RUN = 16  # running words that make a leak
@@ -33,7 +33,7 @@ SURE = 14.0
 REPLACED = 1 / 7  # chance that a quoted word is replaced or misread
 MATCHED = 13  # words of such a run that match: sixteen less about one in seven
 WHOLE = 0.75  # share of a passage that its pieces must make up
-BLOCK_ITEMS = 20_000  # items an automaton: larger sets are scanned in blocks
+BLOCK_ITEMS = 20_000  # items of an automaton, roughly: larger sets are scanned in blocks
 
 _SENTENCE = re.compile(r"(?<=[.!?。！？])\s+|(?<=[。！？])")
 _WORDS = re.compile(r"[^\W_]+")
@@ -64,23 +64,31 @@ def _han(words: list[str]) -> list[str]:
     return out
 
 
-def passages(items: DataFrame, item: str, passage: str) -> list[tuple[object, list[str]]]:
-    """Words of each item's passage without stock sentences (those of two or more items)."""
-    rows = items.select(F.col(item).alias("i"), F.col(passage).alias("p")).filter("i is not null and p is not null").distinct().collect()
-    parts = [(r.i, [s for s in _SENTENCE.split(r.p) if s and s.strip()]) for r in rows]
-    owners: dict[str, set] = defaultdict(set)
-    for i, sentences in parts:
-        for s in sentences:
-            owners[" ".join(words_of(s))].add(i)
-    bodies: dict[tuple[str, ...], int] = Counter(tuple(sentences) for _, sentences in parts)
-    out = []
-    for i, sentences in parts:
-        # A passage that several items share as a whole is theirs, not a stock sentence.
-        own = [s for s in sentences if len(owners[" ".join(words_of(s))]) < 2 or bodies[tuple(sentences)] > 1]
-        words = [w for s in own for w in words_of(s)]
-        if len(words) >= SEED:
-            out.append((i, words))
-    return sorted(out, key=lambda x: (str(x[0]), x[1]))
+def passages(items: DataFrame, item: str, passage: str) -> DataFrame:
+    """``i, words`` of each item's passage without stock sentences (those of two or more items).
+    A passage that several items share as a whole is theirs, not a stock sentence.
+    Null items and passages, and passages without a word of their own, give no row."""
+    kind = items.schema[item].dataType.simpleString()
+
+    def sentences(batches):
+        for b in batches:
+            take, cols = [], ([], [], [])
+            for n, p in enumerate(b.column(1).to_pylist()):
+                for no, words in enumerate([words_of(s) for s in _SENTENCE.split(p) if s and s.strip()]):
+                    take.append(n)
+                    for c, v in zip(cols, (p, no, words)):
+                        c.append(v)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(take, pa.int64())), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()),
+                                              pa.array(cols[2], pa.list_(pa.string()))], names=["i", "p", "no", "words"])
+
+    src = items.select(F.col(item).alias("i"), F.col(passage).alias("p")).filter("i is not null and p is not null").distinct()
+    parts = src.mapInArrow(sentences, f"i {kind}, p string, no int, words array<string>").withColumn("key", F.array_join("words", " ")).filter("key <> ''")
+    parts = cut(parts)
+    stock = parts.groupBy("key").agg(F.count_distinct("i").alias("n")).filter("n > 1").select("key", F.lit(True).alias("stock"))
+    shared = src.groupBy("p").agg(F.count_distinct("i").alias("n")).filter("n > 1").select("p", F.lit(True).alias("shared"))
+    kept = parts.join(stock, "key", "left").join(shared, "p", "left").filter("stock is null or shared")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("no", "words"))), lambda x: x["words"])
+    return kept.groupBy("i", "p").agg(F.flatten(ordered).alias("words")).select("i", "words")
 
 
 def information(items) -> list[tuple[list[float], list[float]]]:
@@ -117,12 +125,14 @@ def information(items) -> list[tuple[list[float], list[float]]]:
 
 
 def _automaton(items):
+    """Runs of ``SEED`` words of all passages, shorter passages whole, each with its places ``(item, word, length)``."""
     import ahocorasick
 
     grams = defaultdict(list)
     for k, (_, w) in enumerate(items):
-        for i in range(len(w) - SEED + 1):
-            grams[f" {' '.join(w[i:i + SEED])} "].append((k, i))
+        n = min(SEED, len(w))
+        for i in range(len(w) - n + 1):
+            grams[f" {' '.join(w[i:i + n])} "].append((k, i, n))
     a = ahocorasick.Automaton()
     for g, at in grams.items():
         a.add_word(g, at)
@@ -180,14 +190,18 @@ def leaks(w: list[str], items, automaton, bits=None) -> list[tuple[int, int, int
     if not hits:
         return []
     ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1)  # blank behind each word
-    at = np.searchsorted(ends, np.fromiter((h[0] for h in hits), np.int64, len(hits))) - SEED + 1
+    at = np.searchsorted(ends, np.fromiter((h[0] for h in hits), np.int64, len(hits))) + 1
     seen: dict[int, set[int]] = defaultdict(set)
     for (_, where), word in zip(hits, at.tolist()):
-        for k, i in where:
-            seen[k].add(word - i)
+        for k, i, n in where:
+            seen[k].add(word - n - i)
     out = []
     for k, diagonals in seen.items():
-        found = _judge(items[k][1], w, diagonals, bits and bits[k])
+        p = items[k][1]
+        if len(p) < SEED:  # short passages leak whole or not at all
+            out.append((k, len(p), min(diagonals), min(diagonals) + len(p) - 1))
+            continue
+        found = _judge(p, w, diagonals, bits and bits[k])
         if found:
             out.append((k, *found))
     return out
@@ -254,22 +268,23 @@ def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item: str
     nothing; repeated documents are all reported; items of one passage are all
     reported. Offsets count characters of the original text, and are null where
     its words cannot be mapped. ``items`` is the query set: its passages are
-    gathered, and scanned in blocks of ``BLOCK_ITEMS``; documents stay where they are.
+    gathered and scanned in blocks of some ``BLOCK_ITEMS``; documents stay where they are.
     """
-    known = passages(items, item, passage)
     spark = docs.sparkSession
+    known = cut(passages(items, item, passage))
+    blocks = -(-known.count() // BLOCK_ITEMS)
     src = spread(docs.select(F.col(key).alias("k"), F.col(text).alias("t")).filter(F.length("t") > 0))
     kinds = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField(item, items.schema[item].dataType),
                           T.StructField("matched_words", T.IntegerType()), T.StructField("start_char", T.LongType()), T.StructField("end_char", T.LongType())])
     out = spark.createDataFrame([], kinds)
     id_type = pa.int64() if isinstance(items.schema[item].dataType, T.LongType) else pa.int32() if isinstance(items.schema[item].dataType, T.IntegerType) else pa.string()
-    for start in range(0, len(known), BLOCK_ITEMS):
-        block = known[start:start + BLOCK_ITEMS]
-        shared = spark.sparkContext.broadcast(block)  # at most BLOCK_ITEMS passages
+    for n in range(blocks):
+        rows = known.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == n).collect()  # some BLOCK_ITEMS passages
+        mine = sorted(((r.i, list(r.words)) for r in rows), key=lambda x: (str(x[0]), x[1]))
+        shared = spark.sparkContext.broadcast((mine, _automaton(mine), information(mine)))
 
         def scan(batches, shared=shared):
-            mine = shared.value
-            automaton, bits = _automaton(mine), information(mine)
+            mine, automaton, bits = shared.value
             for b in batches:
                 take, cols = [], ([], [], [], [])
                 texts = b.column(1)
@@ -289,5 +304,5 @@ def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item: str
                                                  names=[key, item, "matched_words", "start_char", "end_char"])
 
         part = src.mapInArrow(scan, kinds)
-        out = part if start == 0 else out.unionByName(part)
+        out = part if n == 0 else out.unionByName(part)
     return out

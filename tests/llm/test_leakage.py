@@ -47,6 +47,26 @@ def test_against_brute_force():
         assert {x[0] for x in L.leaks(w, items, auto, bits)} == want
 
 
+def test_short_passages_leak_whole_or_not_at_all(spark):
+    items = spark.createDataFrame([(1, "quarterly yields"), (2, "Zurbaran"), (3, None), (4, " ")], "item_id bigint, passage string")
+    docs = spark.createDataFrame([(10, "The quarterly, yields rose."), (11, "quarterly rose yields"), (12, "By ZURBARAN.")], "doc_id bigint, text string")
+    rows = L.find_leaks(docs, "doc_id", "text", items, "item_id", "passage").collect()
+    assert {(r.doc_id, r.item_id, r.matched_words) for r in rows} == {(10, 1, 2), (12, 2, 1)}
+
+
+def test_passages_without_stock_sentences(spark):
+    items = spark.createDataFrame([(1, "One of its own. Stock here."), (2, "Another one. Stock here."), (3, "Shared by both. Whole."), (4, "Shared by both. Whole."), (5, "Stock here.")], "item_id bigint, passage string")
+    got = {r.i: r.words for r in L.passages(items, "item_id", "passage").collect()}
+    assert got == {1: ["one", "of", "its", "own"], 2: ["another", "one"], 3: ["shared", "by", "both", "whole"], 4: ["shared", "by", "both", "whole"]}
+
+
+def test_blocks_of_items(spark, monkeypatch):
+    monkeypatch.setattr(L, "BLOCK_ITEMS", 3)
+    items = spark.createDataFrame([(i, f"{passage(24)} ") for i in range(8)], "item_id bigint, passage string")
+    docs = items.selectExpr("item_id + 100 as doc_id", "passage as text")
+    assert {(r.doc_id - 100, r.item_id) for r in L.find_leaks(docs, "doc_id", "text", items, "item_id", "passage").collect()} == {(i, i) for i in range(8)}
+
+
 def test_word_offsets_agree():
     text = "Exam-\nple of “Sand​ö”, 12.5 km — 漢字 and more"
     assert len(L.word_offsets(text)) == len(L.words_of(text))
