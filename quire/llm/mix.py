@@ -3,8 +3,9 @@
 Every document gets its expected number of copies; the copies are summed up
 within the source in a fixed order, one random offset is added, and a document
 is emitted once for each integer boundary its stretch of the sum crosses. The
-prefix sum is taken in two levels (inside small buckets, then over the bucket
-totals), so no source, however large, is ordered by one task.
+prefix sum is taken in three levels (inside small buckets, over the totals of a
+thousand buckets, and over the totals of these), so no source, however large, is
+ordered by one task.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from quire.llm.tokens import TOKENIZER, with_tokens
 from quire.session import cut, small, spread
 
+BLOCK = 1000  # buckets whose totals are summed up in one task
 ONE = 1 << 32  # fixed-point unit of expected copies; sums are exact integers
 
 
@@ -63,8 +65,14 @@ def mix(sized: DataFrame, targets: DataFrame, key: str = "doc_id", seed: int = 1
     size_class = F.floor(F.log2(F.col("tokens") + F.lit(1.0)) * 4).cast("bigint")
     spot = rows.withColumn("bucket", size_class * buckets + F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(buckets)))
     sums = spot.groupBy("source", "bucket").agg(F.sum("step").alias("s"))
-    over = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("source", "bucket", F.coalesce(F.sum("s").over(over), F.lit(0)).alias("start"))
+    zero = F.lit(0)
+    blocks = sums.withColumn("block", F.floor(F.col("bucket") / BLOCK).cast("bigint"))
+    before = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = (blocks.groupBy("source", "block").agg(F.sum("s").alias("s"))
+              .select("source", "block", F.coalesce(F.sum("s").over(before), zero).alias("first")))
+    within = Window.partitionBy("source", "block").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (blocks.withColumn("start", F.coalesce(F.sum("s").over(within), zero)).join(firsts, ["source", "block"])
+              .select("source", "bucket", (F.col("start") + F.col("first")).alias("start")))
     inside = Window.partitionBy("source", "bucket").orderBy("tokens", F.xxhash64(key, F.lit(seed + 1)), key).rowsBetween(Window.unboundedPreceding, 0)
     offset = F.pmod(F.xxhash64("source", F.lit(seed + 2)), F.lit(ONE))
     top = F.col("start") + F.sum("step").over(inside) + offset

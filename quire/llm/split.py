@@ -12,20 +12,22 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.tokens import TOKENIZER, load
+from quire.llm.tokens import SPLIT_PATTERN, TOKENIZER, load
 from quire.session import spread
 
 LIMIT, OVERLAP = 1024, 64
-LONG_RUN = 256  # bytes of an unbroken run beyond which its retokenization is measured, not bounded
+LONG_RUN = 256  # bytes a run may grow by when it is tokenized anew before its word boundaries are looked up
 
 _KIND = np.full(256, 3, np.uint8)  # other
 _KIND[[9, 10, 11, 12, 13, 32]] = 0
 _KIND[48:58] = 1
 _KIND[65:91] = _KIND[97:123] = 2
 _KIND[128:] = 2
+_WORDS = regex.compile(SPLIT_PATTERN)
 _STOP, _CLOSE = np.zeros(256, bool), np.zeros(256, bool)
 _STOP[list(b".!?")] = True
 _CLOSE[list(b"\"')]")] = True
@@ -54,10 +56,17 @@ def boundaries(data: bytes, ends: np.ndarray) -> np.ndarray:
     return rank
 
 
-def successors(data: bytes, ends: np.ndarray, limit: int, overlap: int):
+def word_starts(text: str) -> np.ndarray:
+    """Byte offsets at which the tokenizer starts a new word, whatever stands before it."""
+    sizes = np.fromiter((len(m.encode("utf-8", "surrogatepass")) for m in _WORDS.findall(text)), np.int64)
+    return np.cumsum(sizes)
+
+
+def successors(data: bytes, ends: np.ndarray, limit: int, overlap: int, text: str | None = None):
     """``(nxt, begin)``: the farthest legal cut after each boundary, and where the
     piece that starts there begins. Boundary i lies before token i; n is the end.
-    ``None`` where an unbroken run is too long to bound its retokenization."""
+    ``None`` where a run without any boundary has tokens so long that no bound of
+    its size allows a step."""
     n = len(ends)
     rank = np.concatenate([[3], boundaries(data, ends)])  # rank of boundary i
     pos = np.concatenate([[0], ends])
@@ -73,22 +82,26 @@ def successors(data: bytes, ends: np.ndarray, limit: int, overlap: int):
     here, back = raw[at], raw[np.maximum(at - 1, 0)]
     sure = (_KIND[here] != _KIND[back]) & (back != 39) & (here != 39) & (_KIND[back] != 0)
     sure[0] = sure[-1] = True
-    next_sure = np.where(sure, node, n)
-    next_sure = np.minimum.accumulate(next_sure[::-1])[::-1]
-    grow = (pos[next_sure] - pos) - (next_sure - node)
-    grow = np.where(sure, 0, grow)[begin]
-    if grow.max(initial=0) > LONG_RUN:
-        return None
-    reach = begin + limit - grow
+
+    def growth():
+        next_sure = np.minimum.accumulate(np.where(sure, node, n)[::-1])[::-1]
+        return np.where(sure, 0, (pos[next_sure] - pos) - (next_sure - node))[begin]
+
+    grow = growth()
+    if grow.max(initial=0) > LONG_RUN:  # scripts without blanks: look the words up
+        sure |= np.isin(pos, word_starts(text if text is not None else data.decode("utf-8", "replace"))) & (_KIND[back] != 0)
+        grow = growth()
+    # Within a longer run a piece of at most `limit` bytes has at most `limit` tokens.
+    reach = np.maximum(begin + limit - grow, np.searchsorted(pos, pos[begin] + limit, "right") - 1)
     nxt = np.full(n + 1, -1)
-    for least in (2, 1):
+    for least in (2, 1, 0):
         legal = node[rank >= least]
         far = legal[np.searchsorted(legal, reach, "right") - 1]
         nxt = np.where((nxt < 0) & (far > node), far, nxt)
-    if (nxt[:-1] < 0).any():
-        return None
     nxt = np.where(reach >= n, n, nxt)
     nxt[n] = n
+    if (nxt < 0).any():
+        return None
     return nxt, begin
 
 
@@ -111,7 +124,7 @@ def split_text(text: str, enc, size, limit: int = LIMIT, overlap: int = OVERLAP)
     ends = np.cumsum(size[ids])
     if len(ids) <= limit:
         return [(0, len(data), len(ids))]
-    found = successors(data, ends, limit, overlap)
+    found = successors(data, ends, limit, overlap, text)
     if found is None:
         return _measured(data, ends, enc, limit, overlap)
     nxt, begin = found
@@ -121,7 +134,8 @@ def split_text(text: str, enc, size, limit: int = LIMIT, overlap: int = OVERLAP)
 
 
 def _measured(data: bytes, ends: np.ndarray, enc, limit: int, overlap: int) -> list[tuple[int, int, int]]:
-    """For texts with unbroken runs of hundreds of bytes: cut by cut, each piece's size measured."""
+    """For texts with runs of signs whose tokens are so long that ``overlap`` of them fill a piece
+    of ``limit`` bytes: cut by cut, each piece's size measured."""
     rank = np.concatenate([[3], boundaries(data, ends)])
     pos = np.concatenate([[0], ends])
     n, at, out = len(ends), 0, []

@@ -83,6 +83,34 @@ def test_mix_meets_targets(spark):
     assert mix.mix(sized.limit(0), targets).count() == 0
 
 
+def test_copies_against_brute_force(spark, monkeypatch):
+    """Every record is used the whole number of times below or above its expected copies, and their sum
+    is that of the systematic draw: the integer boundaries that all expected copies cross from the offset on."""
+    monkeypatch.setattr(mix, "BLOCK", 3)
+    rng = random.Random(9)
+    rows = [(i, rng.choice(["a"] * 6 + ["b"]), rng.choice([0, 1, 7, 300, 5000])) for i in range(3000)]
+    sized = spark.createDataFrame(rows, "doc_id bigint, source string, tokens bigint")
+    targets = spark.createDataFrame([("a", 0.7, 5), ("b", 0.3, 4)], "source string, target_share double, max_repeats int")
+    chosen = {r.doc_id: r.copies for r in mix.mix(sized, targets, bucket_rows=20).collect()}
+    total = sum(t for _, _, t in rows)
+    for name, share, most in (("a", 0.7, 5), ("b", 0.3, 4)):
+        mine = [(i, t) for i, s, t in rows if s == name]
+        each = min(share * total / sum(t for _, t in mine), most)
+        step = int(each * mix.ONE)
+        used = [chosen.get(i, 0) for i, _ in mine]
+        assert set(used) <= {int(each), int(each) + 1}
+        assert abs(sum(used) - step * len(mine) / mix.ONE) <= 1
+        assert abs(sum(t * c for (_, t), c in zip(mine, used)) / (each * sum(t for _, t in mine)) - 1) < 0.05
+
+
+def test_runs_without_blanks_are_doubled_too():
+    import numpy as np
+    for text in ("根据图六有道路和桥梁建设" * 900, "日本語テキスト" * 900, "a" * 9000, "根据图6，有道路。" * 900):
+        ends = np.cumsum(SIZE[np.asarray(ENC.encode_ordinary(text))])
+        assert split.successors(text.encode(), ends, split.LIMIT, split.OVERLAP, text) is not None
+        check(text, split.LIMIT, split.OVERLAP)
+
+
 def test_sizes_count_null_as_nothing(spark):
     df = spark.createDataFrame([(1, None, None), (2, "two words", "A b")], "doc_id bigint, text string, source string")
     assert {(r.doc_id, r.tokens, r.source) for r in mix.sized_documents(df).collect()} == {(1, 0, None), (2, 2, "a_b")}
