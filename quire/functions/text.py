@@ -114,20 +114,6 @@ def unit_pattern(unit: str, kind: str | None = None) -> str:
     return rf"(?:{noun})[^0-9a-zA-Z]*{_number_pattern(unit)}(?:[^0-9]|$)"
 
 
-def unit_pattern_column(unit: Column, kind: Column) -> Column:
-    """``unit_pattern`` of a column of unit numbers (letters, digits, dots, dashes) and kinds."""
-    body = F.lower(unit)
-    body = F.regexp_replace(body, r"([.\\-])", r"\\$1")
-    for members, seen in CONFUSED:
-        body = F.regexp_replace(body, f"[{members}]", f"\x01{members[0]}")  # marked first, so that no set is replaced in another's
-    for members, seen in CONFUSED:
-        body = F.replace(body, F.lit(f"\x01{members[0]}"), F.lit(f"[{seen}]"))
-    noun = F.when(F.lower(kind).isin("figure", "fig"), F.lit(NOUNS[0][1]))
-    for name, pattern in NOUNS[1:]:
-        noun = noun.when(F.lower(kind) == name, F.lit(pattern))
-    return F.concat(F.lit("(?:"), noun.otherwise(F.lit("|".join(p for _, p in NOUNS))), F.lit(")[^0-9a-zA-Z]*"), body, F.lit("(?:[^0-9]|$)"))
-
-
 def match_unit(text: Column, unit: str, kind: str | None = None) -> Column:
     """Whether a caption names the unit ("Figure 1" does not match "Figure 10")."""
     return F.coalesce(F.lower(text).rlike(unit_pattern(unit, kind)), F.lit(False))

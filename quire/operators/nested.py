@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from quire.session import cut
 
-ITEM = "array<variant>"
+ITEM, FIELDS = "array<variant>", "map<string,variant>"
 
 
 # ------------------------------------------------------------- merged schema
@@ -89,16 +89,18 @@ def _step(names) -> str:
 
 # --------------------------------------------------- generic recursive explode
 
-def _open(v: Column) -> Column:
-    """A value written as JSON text is opened; any other stays."""
-    text = F.try_variant_get(v, "$", "string")
-    return F.coalesce(F.when(text.rlike(r"^\s*[\[{]"), F.try_parse_json(text)), v)
-
-
 def _get(v: Column, path: str, kind: str) -> Column:
     return F.try_variant_get(v, path, kind)
 
 
+def _open(v: Column) -> Column:
+    """A value written as JSON text is opened; any other stays. Objects and arrays are told
+    first, since as text they would be written out whole."""
+    text = _get(v, "$", "string")
+    return F.when(_get(v, "$", ITEM).isNotNull() | _get(v, "$", FIELDS).isNotNull(), v).otherwise(
+        F.coalesce(F.when(text.rlike(r"^\s*[\[{]"), F.try_parse_json(text)), v))
+
+
 def _walk(v: Column, names) -> Column:
     """The value under ``names``, one step after another, each opened where it is JSON text."""
     for n in names:
@@ -112,14 +114,17 @@ _ROW = "array<struct<level:int,ordinal:int,name:string,value:variant>>"
 def _elements(value: Column, no: int, names, entries: bool) -> Column:
     """Elements of the array under ``names`` as rows of level ``no``; with ``entries`` also the
     fields of an object there, named and in the order of the names."""
+    path, above = _step(names), _step(names[:-1])
+    # Text is looked into only where the plain path ends early: below anything but an object.
+    closed = _get(value, path, ITEM).isNull() & ((_get(value, above, FIELDS).isNull() | _get(value, path, FIELDS).isNull()) if names[:-1] else F.lit(True))
     inner = _walk(value, names)
 
     def row(i, name, x):
         return F.struct(F.lit(no).alias("level"), i.cast("int").alias("ordinal"), name.cast("string").alias("name"), x.alias("value"))
 
-    listed = F.transform(_get(inner, "$", ITEM), lambda x, i: row(i, F.lit(None), x))
+    listed = F.transform(F.coalesce(_get(value, path, ITEM), F.when(closed, _get(inner, "$", ITEM))), lambda x, i: row(i, F.lit(None), x))
     if entries:
-        fields = F.map_entries(_get(inner, "$", "map<string,variant>"))
+        fields = F.map_entries(F.coalesce(_get(value, path, FIELDS), F.when(closed, _get(inner, "$", FIELDS))))
         listed = F.coalesce(F.transform(fields, lambda e, i: row(i, e["key"], e["value"])), listed)
     return F.coalesce(listed, F.array().cast(_ROW))
 

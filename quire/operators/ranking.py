@@ -70,28 +70,36 @@ def hops(arcs: DataFrame, seeds: DataFrame, by: list[str]) -> DataFrame:
 
 
 def best_matching(weights: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs of the heaviest bipartite matching, not necessarily the largest (dynamic program over subsets of the smaller side)."""
+    """Pairs of the heaviest bipartite matching, not necessarily the largest: shortest augmenting
+    paths with potentials, one row after another, in cubic time. Weights not above 0 are no pairs."""
     w = np.asarray(weights, float)
-    turned = w.shape[1] > w.shape[0]
-    w = w.T if turned else w
+    if not w.size:
+        return []
+    turned = w.shape[0] > w.shape[1]
+    w = np.maximum(w.T if turned else w, 0.0)
     n, m = w.shape
-    if m > 16:  # auction by decreasing weight: at least half the best weight
-        order, used_a, used_b, out = sorted(((w[i, j], i, j) for i in range(n) for j in range(m) if w[i, j] > 0), reverse=True), set(), set(), []
-        for _, i, j in order:
-            if i not in used_a and j not in used_b:
-                used_a.add(i)
-                used_b.add(j)
-                out.append((i, j))
-    else:
-        best: dict[int, tuple[float, tuple]] = {0: (0.0, ())}
-        for i in range(n):
-            new = dict(best)
-            for mask, (total, pairs) in best.items():
-                for j in range(m):
-                    if w[i, j] > 0 and not mask >> j & 1:
-                        key = mask | 1 << j
-                        if key not in new or new[key][0] < total + w[i, j]:
-                            new[key] = (total + w[i, j], (*pairs, (i, j)))
-            best = new
-        out = list(max(best.values())[1])
+    cost = w.max() - w
+    row_price, col_price = np.zeros(n), np.zeros(m + 1)
+    owner = np.full(m + 1, -1)  # row of each column; column m is where a path starts
+    for i in range(n):
+        owner[m] = i
+        here, least, back = m, np.full(m, np.inf), np.full(m, m)
+        done = np.zeros(m + 1, bool)
+        while owner[here] >= 0:
+            done[here] = True
+            r = owner[here]
+            reach = cost[r] - row_price[r] - col_price[:m]
+            better = ~done[:m] & (reach < least)
+            least[better], back[better] = reach[better], here
+            step = np.where(done[:m], np.inf, least)
+            nearest = int(np.argmin(step))
+            gain = step[nearest]
+            row_price[owner[done]] += gain
+            col_price[done] -= gain
+            least[~done[:m]] -= gain
+            here = nearest
+        while here != m:
+            owner[here] = owner[back[here]]
+            here = back[here]
+    out = [(int(owner[j]), j) for j in range(m) if owner[j] >= 0 and w[owner[j], j] > 0]
     return sorted((j, i) for i, j in out) if turned else sorted(out)

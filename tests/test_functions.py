@@ -105,8 +105,6 @@ def test_cues_of_questions_and_answers(spark):
     assert one(spark, X.extract_count(F.col("t")), t="Final answer: 7 bars") == 7
     for text, unit, hit in (("Figure 12: x", "1.2", False), ("Figure 1.2: x", "1.2", True), ("Fig. l0", "10", True), ("F1g 3", "3", True), ("T@ble 3", "3", True)):
         assert one(spark, X.match_unit(F.col("t"), unit), t=text) is hit, text
-        got = spark.createDataFrame([(text, unit)], "t string, u string").select(F.lower("t").rlike(X.unit_pattern_column(F.col("u"), F.lit(None).cast("string"))).alias("v")).first().v
-        assert got is hit, text
 
 
 def test_titles(spark):
