@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from quire import models
 from quire.functions.text import answer_after_thinking, asks_arithmetic, asks_count, asks_pages, query_scope
-from quire.schema import TITLE_TYPES
 
 PROMPTS = {
     "answer": "Use only the evidence below. Put the answer between <answer> and </answer>.\nEvidence:\n%s\nQuestion: %s",
@@ -36,22 +35,17 @@ def intent_summary(kind: Column, scope: Column, keywords: Column) -> Column:
     return F.concat_ws(" | ", kind, scope, F.when(F.size(keywords) > 3, F.concat(shown, F.lit("..."))).otherwise(shown))
 
 
-def pages_by_keywords(keywords: DataFrame, index: DataFrame, k: int = 3) -> DataFrame:
-    """Best pages of each question: one point a keyword a block, two more in titles and short texts.
-    ``index``: doc_id, word, block_id, page, strong (as an inverted index of the blocks)."""
-    hit = keywords.join(index, (keywords.doc_id == index.doc_id) & (keywords.keyword == index.word)).select(keywords.sample_idx, "page", F.when(F.col("strong"), 3).otherwise(1).alias("points"))
-    s = hit.groupBy("sample_idx", "page").agg(F.sum("points").alias("points"))
+def pages_by_keywords(keywords: DataFrame, found: DataFrame, blocks: DataFrame, k: int = 3) -> DataFrame:
+    """Best pages of each question: one point for each keyword a block holds, two more in titles and
+    short texts. ``found``: doc_id, keyword, block_id; ``blocks``: doc_id, block_id, page, type, text."""
+    strong = F.coalesce(F.col("type") == "title", F.lit(False)) | (F.length("text") < 100)
+    points = found.join(blocks.select("doc_id", "block_id", "page", F.when(strong, 3).otherwise(1).alias("points")), ["doc_id", "block_id"])
+    a_page = points.groupBy("doc_id", "keyword", "page").agg(F.sum("points").alias("points"))
+    s = keywords.join(a_page, ["doc_id", "keyword"]).groupBy("sample_idx", "page").agg(F.sum("points").alias("points"))
     w = Window.partitionBy("sample_idx").orderBy(F.col("points").desc(), "page")
     return s.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def block_index(blocks: DataFrame) -> DataFrame:
-    """Inverted index of block texts for ``pages_by_keywords``."""
-    w = blocks.select("doc_id", "block_id", "page", (F.col("type").isin(*TITLE_TYPES) | (F.length("text") < 100)).alias("strong"),
-                      F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)))).alias("word"))
-    return w
-
-
 def image_caps(images: DataFrame, a_page: int, overall: int) -> DataFrame:
     """At most ``a_page`` images of a page and ``overall`` of a question, in rank order."""
     p = Window.partitionBy("sample_idx", "page").orderBy("rank")

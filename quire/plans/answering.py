@@ -9,7 +9,7 @@ from quire.operators import evidence as Ev
 from quire.operators import layout as L
 from quire.operators import retrieval as Rt
 from quire.plans.layout import B
-from quire.plans.retrieval import _TU, K, S, _cands, _s, _u, find_by_page, visual_page_nodes
+from quire.plans.retrieval import _KW, _TU, K, S, _cands, _s, _u, find_by_page, visual_page_nodes
 from quire.session import table
 
 
@@ -23,7 +23,8 @@ def question_intents(spark, d):
 
 
 def pages_by_keywords(spark, d):
-    return An.pages_by_keywords(Rt.keywords(_s(spark, d)), An.block_index(_b(spark, d)))
+    kw, b = Rt.keywords(_s(spark, d), F.lower), _b(spark, d)
+    return An.pages_by_keywords(kw, Rt.matches(kw, b, "block_id", "text", F.lower), b)
 
 
 def image_caps(spark, d):
@@ -36,7 +37,10 @@ def supplement_pages(spark, d):
 
 
 def rerank_by_anchor(spark, d):
-    return An.by_anchor(_cands(spark, d).withColumn("anchor", F.col("unit") % 7)).select("sample_idx", "unit", "place")
+    """Candidates clustered by the page their unit stands on."""
+    pages = table(spark, d, "ocr_blocks").groupBy("doc_id", F.col("block_id").alias("unit")).agg(F.min("page").alias("anchor"))
+    c = _cands(spark, d).join(_s(spark, d).select("sample_idx", "doc_id").distinct(), "sample_idx").join(pages, ["doc_id", "unit"])
+    return An.by_anchor(c).select("sample_idx", "unit", "place")
 
 
 def supporting_subgraph(spark, d):
@@ -62,15 +66,15 @@ QUERIES = {f.__name__: f for f in (question_intents, pages_by_keywords, image_ca
 _VB = "v AS (SELECT DISTINCT doc_id, block_id, page, block_type FROM ocr_blocks WHERE lower(block_type) IN ('figure','table','chart','map','diagram','graph'))"
 _UP = "up AS (SELECT DISTINCT sample_idx, doc_id, CAST(p AS INTEGER) - 1 AS page FROM (SELECT sample_idx, doc_id, unnest(regexp_extract_all(coalesce(evidence_pages,''), '[0-9]{1,6}')) AS p FROM s) WHERE CAST(p AS INTEGER) >= 1)"
 _F = S + ", " + _VB + ", " + _UP + ", f AS (SELECT up.sample_idx, up.page, v.block_id, v.block_type FROM up JOIN v USING (doc_id, page))"
-_KIND = "CASE WHEN regexp_matches(lower(question), '^list') THEN 'enumerate' WHEN coalesce(regexp_matches(lower(question), 'how many|number of|count of|total number'), false) OR coalesce(regexp_matches(lower(question), 'how many pages|number of pages|total pages|page count'), false) THEN 'count' WHEN regexp_matches(lower(question), 'differ|change between|compare') THEN 'compare' ELSE 'locate' END"
+_KIND = "CASE WHEN regexp_matches(lower(question), '^list') THEN 'enumerate' WHEN coalesce(regexp_matches(lower(question), 'how many|number of|count of|total number'), false) OR coalesce(regexp_matches(lower(question), 'how many pages (does|do|are|in|did|has)|total (number of )?pages|pages (does|do) (the )?(document|report|paper|file|newspaper) (have|contain|consist)'), false) THEN 'count' WHEN regexp_matches(lower(question), 'differ|change between|compare') THEN 'compare' ELSE 'locate' END"
 SQL = {
-    "question_intents": S + f""", q AS (SELECT sample_idx, {_KIND} AS intent_type, CASE WHEN regexp_matches(lower(coalesce(question,'')), 'list all|how many|overall|entire|throughout|all of the|summar') THEN 'global' ELSE 'local' END AS scope,
-   coalesce(regexp_matches(lower(question), 'differ|difference|sum of|average|percent|ratio|increase|decrease|share of|change between'), false) AS ar, string_split(coalesce(question,''), ' ') AS w FROM s)
+    "question_intents": S + f""", q AS (SELECT sample_idx, {_KIND} AS intent_type, CASE WHEN regexp_matches(lower(coalesce(question,'')), 'any of|among all|overall|distribution|proportion across|throughout|in total') THEN 'global' WHEN regexp_matches(lower(coalesce(question,'')), 'according to figure|according to table|in figure|in table|in section') THEN 'local' ELSE 'default' END AS scope,
+   coalesce(regexp_matches(lower(question), '\\b(?:calculate|sum|combined|difference|increase|decrease|total|amount|revenue|expenditure|income|assets|liabilities|equity|gains|loss|quantity|capacity|percentage|percent|rate|value|days|shares|responses|skipped|how\\s+much|operating earnings|ebit|cash flow|dcf)\\b'), false) AS ar, string_split(coalesce(question,''), ' ') AS w FROM s)
  SELECT sample_idx, intent_type, scope, intent_type IN ('count','compare') AND ar AS widen, intent_type || ' | ' || scope || ' | ' || array_to_string(w[1:3], ', ') || CASE WHEN len(w) > 3 THEN '...' ELSE '' END AS summary FROM q""",
-    "pages_by_keywords": K + ", b AS (SELECT DISTINCT doc_id, block_id, page, block_type AS type, text FROM ocr_blocks), w2 AS (SELECT doc_id, block_id, page, coalesce(type IN ('title','section_header') OR length(text) < 100, false) AS strong, unnest(list_distinct(regexp_extract_all(lower(coalesce(text,'')), '[a-z0-9]+', 0))) AS word FROM b), pp AS (SELECT sample_idx, page, CAST(sum(CASE WHEN strong THEN 3 ELSE 1 END) AS BIGINT) AS points FROM kw JOIN w2 ON w2.doc_id = kw.doc_id AND w2.word = kw.keyword GROUP BY ALL) SELECT sample_idx, page, points, row_number() OVER (PARTITION BY sample_idx ORDER BY points DESC, page) AS rank FROM pp QUALIFY rank <= 3",
+    "pages_by_keywords": S + ", " + _KW.format("lower(k)") + ", b AS (SELECT DISTINCT doc_id, block_id, page, block_type AS type, text FROM ocr_blocks), pp AS (SELECT sample_idx, page, CAST(sum(CASE WHEN coalesce(type = 'title', false) OR length(text) < 100 THEN 3 ELSE 1 END) AS BIGINT) AS points FROM kw JOIN b ON b.doc_id = kw.doc_id AND contains(lower(coalesce(text,'')), keyword) GROUP BY ALL) SELECT sample_idx, page, points, row_number() OVER (PARTITION BY sample_idx ORDER BY points DESC, page) AS rank FROM pp QUALIFY rank <= 3",
     "image_caps": _F + ", p AS (SELECT sample_idx, page, block_id AS rank FROM f QUALIFY row_number() OVER (PARTITION BY sample_idx, page ORDER BY block_id) <= 2) SELECT sample_idx, page, rank, row_number() OVER (PARTITION BY sample_idx ORDER BY rank, page) AS place FROM p QUALIFY place <= 5",
     "supplement_pages": _F + ", r AS (SELECT sample_idx, unnest(range(len(image_top_10_question))) AS place, unnest(image_top_10_question) AS page FROM s), n AS (SELECT * FROM r WHERE (sample_idx, page) NOT IN (SELECT (sample_idx, page) FROM f)) SELECT sample_idx, page, place FROM n QUALIFY row_number() OVER (PARTITION BY sample_idx ORDER BY place, page) <= 3",
-    "rerank_by_anchor": _TU + ", a AS (SELECT *, min(unit) OVER (PARTITION BY sample_idx, unit % 7) AS arrival FROM tu) SELECT sample_idx, unit, row_number() OVER (PARTITION BY sample_idx ORDER BY arrival, score DESC, unit) AS place FROM a",
+    "rerank_by_anchor": _TU + ", bp AS (SELECT doc_id, block_id AS unit, min(page) AS anchor FROM ocr_blocks GROUP BY ALL), a AS (SELECT tu.*, min(unit) OVER (PARTITION BY sample_idx, anchor) AS arrival FROM tu JOIN (SELECT DISTINCT sample_idx, doc_id FROM s) USING (sample_idx) JOIN bp USING (doc_id, unit)) SELECT sample_idx, unit, row_number() OVER (PARTITION BY sample_idx ORDER BY arrival, score DESC, unit) AS place FROM a",
     "supporting_subgraph": B + """o AS (SELECT doc_id, page, block_id AS a, lead(block_id) OVER (PARTITION BY doc_id, page ORDER BY round_even(y1/8, 0), x1, block_id) AS z FROM b WHERE x1 IS NOT NULL),
  g AS (SELECT doc_id, page, a, z FROM o WHERE z IS NOT NULL UNION ALL SELECT doc_id, page, z, a FROM o WHERE z IS NOT NULL), s AS (SELECT doc_id, page, block_id, coalesce(rec_conf, 0.1) AS score FROM b WHERE x1 IS NOT NULL),
  sd AS (SELECT doc_id, page, block_id FROM s QUALIFY row_number() OVER (PARTITION BY doc_id, page ORDER BY score DESC, block_id) <= 1),

@@ -7,16 +7,15 @@ from pyspark.sql import functions as F
 from quire.operators import evidence as Ev
 from quire.operators import layout as L
 from quire.operators import retrieval as Rt
-from quire.plans.retrieval import _TU, K, _cands, _s, _scored, _u
+from quire.plans.retrieval import _TU, K, _cands, _matched, _s, _scored
 from quire.session import table
 
 
 def coverage(spark, d):
-    kw, u = Rt.keywords(_s(spark, d)), _u(spark, d)
-    index = Rt.index_words(u, "block_id", "text").select("doc_id", F.col("word").alias("keyword")).distinct()
-    found = kw.join(index, ["doc_id", "keyword"]).select("sample_idx", F.col("keyword").alias("constraint"))
-    want = _s(spark, d).select("sample_idx").join(kw.select("sample_idx", F.col("keyword").alias("constraint")), "sample_idx", "left")
-    return Ev.coverage(want, found).withColumn("coverage", F.round("coverage", 6))
+    w, found = _matched(spark, d)
+    held = w.join(found, ["doc_id", "keyword"]).select("sample_idx", F.col("keyword").alias("constraint"))
+    want = _s(spark, d).select("sample_idx").join(w.select("sample_idx", F.col("keyword").alias("constraint")), "sample_idx", "left")
+    return Ev.coverage(want, held).withColumn("coverage", F.round("coverage", 6))
 
 
 def evidence_packing(spark, d):
@@ -39,17 +38,9 @@ def caption_matching(spark, d):
     return Ev.match_captions(L.layout(table(spark, d, "ocr_blocks")))
 
 
-def find_by_section(spark, d):
-    h = table(spark, d, "hypergraphs").select(F.col("document_id").alias("doc_id"), F.explode("hyperedges").alias("e")).select("doc_id", F.col("e.edge_id").alias("edge_id"), F.col("e.meta.section_title").alias("title"))
-    words = Rt.index_words(h.filter("title is not null").distinct(), "edge_id", "title")
-    kw = Rt.keywords(_s(spark, d))
-    hit = kw.join(words, (kw.doc_id == words.doc_id) & (kw.keyword == words.word)).groupBy("sample_idx", "edge_id").agg(F.count("*").alias("matched"))
-    return hit
-
-
-QUERIES = {f.__name__: f for f in (coverage, evidence_packing, rerank_mix, neighbour_avg, caption_matching, find_by_section)}
+QUERIES = {f.__name__: f for f in (coverage, evidence_packing, rerank_mix, neighbour_avg, caption_matching)}
 SQL = {
-    "coverage": K + ", f AS (SELECT DISTINCT kw.sample_idx, kw.keyword FROM kw JOIN ix ON ix.doc_id = kw.doc_id AND ix.word = kw.keyword) SELECT s.sample_idx, count(kw.keyword) AS constraints, count(f.keyword) AS satisfied, round(CASE WHEN count(kw.keyword) = 0 THEN 1.0 ELSE count(f.keyword)/count(kw.keyword)::DOUBLE END, 6) AS coverage FROM (SELECT DISTINCT sample_idx FROM s) s LEFT JOIN kw USING (sample_idx) LEFT JOIN f ON f.sample_idx = kw.sample_idx AND f.keyword = kw.keyword GROUP BY s.sample_idx",
+    "coverage": K + ", f AS (SELECT DISTINCT kw.sample_idx, kw.keyword FROM kw JOIN mt USING (doc_id, keyword)) SELECT s.sample_idx, count(kw.keyword) AS constraints, count(f.keyword) AS satisfied, round(CASE WHEN count(kw.keyword) = 0 THEN 1.0 ELSE count(f.keyword)/count(kw.keyword)::DOUBLE END, 6) AS coverage FROM (SELECT DISTINCT sample_idx FROM s) s LEFT JOIN kw USING (sample_idx) LEFT JOIN f ON f.sample_idx = kw.sample_idx AND f.keyword = kw.keyword GROUP BY s.sample_idx",
     "evidence_packing": _TU + ", r AS (SELECT *, row_number() OVER (PARTITION BY sample_idx, tool_seq ORDER BY unit) AS turn, min(unit) OVER (PARTITION BY sample_idx, tool_seq) AS arrival FROM tu), x AS (SELECT *, dense_rank() OVER (PARTITION BY sample_idx ORDER BY arrival) AS number, row_number() OVER (PARTITION BY sample_idx ORDER BY turn, arrival, unit) AS place FROM r) SELECT sample_idx, chr(CAST(64 + number AS INTEGER)) AS label, place, unit FROM x WHERE place <= 6",
     "rerank_mix": K + ", m AS (SELECT sample_idx AS query_id, block_id AS unit, round(0.7*score + (1 - 0.7)*coverage, 9) AS mixed FROM sc) SELECT query_id, unit, round(mixed, 6) AS mixed, row_number() OVER (PARTITION BY query_id ORDER BY mixed DESC, unit) AS rank FROM m QUALIFY rank <= 5",
     "neighbour_avg": """WITH b AS (SELECT DISTINCT doc_id, block_id, page, bbox[1] AS x1, bbox[2] AS y1, rec_conf FROM (SELECT DISTINCT * FROM ocr_blocks)),
@@ -57,5 +48,4 @@ SQL = {
  g AS (SELECT doc_id, page, a, z FROM o WHERE z IS NOT NULL UNION SELECT doc_id, page, z, a FROM o WHERE z IS NOT NULL), s AS (SELECT doc_id, page, block_id, coalesce(rec_conf, 0.5) AS score FROM b WHERE x1 IS NOT NULL),
  n AS (SELECT g.doc_id, g.page, g.a AS block_id, avg(s.score) AS near FROM g JOIN s ON s.doc_id = g.doc_id AND s.page = g.page AND s.block_id = g.z GROUP BY ALL)
  SELECT s.doc_id, s.page, s.block_id, round(s.score + 0.2*coalesce(near, 0.0), 6) AS score FROM s LEFT JOIN n USING (doc_id, page, block_id)""",
-    "find_by_section": K + ", h AS (SELECT DISTINCT document_id AS doc_id, e.edge_id AS edge_id, e.meta.section_title AS title FROM (SELECT document_id, unnest(hyperedges) AS e FROM hypergraphs WHERE hyperedges IS NOT NULL) WHERE e.meta.section_title IS NOT NULL), hw AS (SELECT DISTINCT doc_id, edge_id, unnest(regexp_extract_all(lower(title), '[a-z0-9]+', 0)) AS word FROM h) SELECT kw.sample_idx, hw.edge_id, count(*) AS matched FROM kw JOIN hw ON hw.doc_id = kw.doc_id AND hw.word = kw.keyword GROUP BY ALL",
 }

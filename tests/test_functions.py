@@ -1,5 +1,4 @@
 import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
 from quire import models as M
@@ -7,7 +6,6 @@ from quire.functions import jsonx as J
 from quire.functions import scores as S
 from quire.functions import text as X
 from quire.operators import vectors as Ve
-from quire.operators.select import _density, prune_blocks
 
 
 def one(spark, col, **values):
@@ -63,18 +61,6 @@ def test_vector_search_is_exact(spark):
         assert [got[(q, k + 1)] for k in range(5)] == list(np.argsort(-s)[:5])
 
 
-def test_density_greedy_prefers_gain_per_image():
-    c = pd.DataFrame([(1, "a", 0, 0.9, 0.6, [0.6], [1, 2, 3], 1, 0.0), (1, "b", 1, 0.8, 0.5, [0.5], [1], 1, 0.0), (1, "c", 2, 0.7, 0.01, [0.01], [1], 1, 0.0)],
-                     columns=["sample_idx", "unit", "seq", "score", "gain", "kw_scores", "pages", "crop", "text_cost"])
-    assert _density(c, 5, 1.0, False, False).unit.tolist() == ["b"]
-    assert len(_density(c.iloc[:0], 5, 1.0, False, False)) == 0
-
-
-def test_pruning_keeps_what_adds():
-    assert prune_blocks([{"a"}, {"a", "b"}, {"c"}], {"c"}) == [1]
-    assert prune_blocks([], set()) == []
-
-
 def test_predict_turns_failures_into_rows(spark):
     M.register("failing")(lambda config: lambda messages: 1 / 0)
     df = spark.createDataFrame([("q1", ["t"]), ("q2", [])], "q string, texts array<string>")
