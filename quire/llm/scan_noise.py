@@ -355,7 +355,7 @@ def paragraphs(lines: list[str]) -> list[str]:
 def _skeleton(line: Column) -> Column:
     """A line in a form that misread and true characters share, without page numbers."""
     t = F.lower(line)
-    t = F.regexp_replace(t, r"^\s*\d{1,4}\s{2,}|\s{2,}\d{1,4}\s*$|\s*\|\s*\d{1,4}\s*$|^\s*\d{1,4}\s*\|\s*", "")
+    t = F.when(~t.rlike("[0-9]"), t).otherwise(F.regexp_replace(t, r"^\s*\d{1,4}\s{2,}|\s{2,}\d{1,4}\s*$|\s*\|\s*\d{1,4}\s*$|^\s*\d{1,4}\s*\|\s*", ""))
     t = F.translate(t, "!105@96cfh8", "ilosagbetbb")
     for seen, meant in (("ii", "u"), ("rn", "m"), ("in", "m"), ("li", "b"), ("el", "d"), ("vv", "w")):
         t = F.replace(t, F.lit(seen), F.lit(meant))
@@ -386,9 +386,9 @@ def furniture(blocks: DataFrame) -> DataFrame:
     between printed and physical page.
     """
     lines = cut(page_lines(blocks).withColumn("dressed", F.col("line").rlike(DRESSED)).withColumn("bare", F.col("line").rlike(PLAIN))
-                .withColumn("roman", F.lower("line").rlike(ROMAN) & F.col("alone") & F.coalesce("margin", F.lit(False)))
-                .withColumn("number", F.regexp_extract("line", r"(\d+)", 1).try_cast("int"))
-                .withColumn("key", _skeleton(F.col("line"))))
+                .withColumn("roman", F.when(F.col("alone") & F.coalesce("margin", F.lit(False)), F.lower("line").rlike(ROMAN)).otherwise(False))
+                .withColumn("number", F.when(F.col("dressed") | F.col("bare") | F.col("roman"), F.regexp_extract("line", r"(\d+)", 1).try_cast("int")))
+                .withColumn("key", F.when(~(F.col("dressed") | F.col("bare") | F.col("roman")), _skeleton(F.col("line")))))
     is_number = F.col("dressed") | F.col("bare") | F.col("roman")
     edge = F.col("block_type").isin("header", "footer")
     # Page numbers.
@@ -423,11 +423,22 @@ def _distinct(blocks: DataFrame) -> DataFrame:
                                                         F.struct(F.col("text").isNull(), "text", "page")).alias("b")).select("doc_id", "block_id", "b.*")
 
 
+_DECODERS: dict[int, Decoder] = {}
+
+
+def _decoder(shared) -> Decoder:
+    """The decoder of a lexicon, kept by a worker for the tasks that follow."""
+    if id(shared.value) not in _DECODERS:
+        _DECODERS.clear()
+        _DECODERS[id(shared.value)] = Decoder(shared.value)
+    return _DECODERS[id(shared.value)]
+
+
 def _kernel(spark, counts):
     shared = spark.sparkContext.broadcast(counts)  # at most 1 / share words, see lexicon()
 
     def run(batches):
-        dec = Decoder(shared.value)
+        dec = _decoder(shared)
         for b in batches:
             texts, confs = b.column(2).to_pylist(), b.column(3).to_pylist()
             skip = b.column(4).to_pylist()
@@ -479,7 +490,7 @@ def repaired(blocks: DataFrame) -> DataFrame:
     shared = blocks.sparkSession.sparkContext.broadcast(lexicon(base))  # at most 1 / share words
 
     def run(batches):
-        dec = Decoder(shared.value)
+        dec = _decoder(shared)
         for b in batches:
             take, no, text = [], [], []
             for i, (t, c, s) in enumerate(zip(*(b.column(k).to_pylist() for k in (2, 3, 4)))):
