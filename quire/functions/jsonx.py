@@ -38,6 +38,14 @@ def page_list(t: Column) -> Column:
     return F.filter(F.coalesce(F.when(F.trim(t).startswith("["), many), one, F.array().cast("array<int>")), lambda p: p > 0)
 
 
+def page_probe(t: Column) -> Column:
+    """Layout (``single`` where not named) and printed page numbers of a page probe's reply: what stands between its
+    outermost braces, numbers only; nulls where that cannot be read."""
+    body = F.regexp_replace(F.regexp_extract(t, r"(?s)(\{.*\})", 1), r"[\r\n]", " ")
+    r = F.from_json(F.when(F.try_parse_json(body).isNotNull(), body), "layout string, found_pages array<string>")
+    return F.struct(F.when(r.isNotNull(), F.coalesce(r["layout"], F.lit("single"))).alias("layout"), F.filter(F.when(r.isNotNull(), r["found_pages"]), lambda p: p.rlike("^[0-9]+$")).alias("found_pages"))
+
+
 def page_constraint(pages: Column) -> Column:
     """Positive numbers sorted, then LAST and FIRST sorted, each once."""
     numbers = F.array_sort(F.array_distinct(F.filter(F.transform(pages, lambda p: p.try_cast("int")), lambda p: p > 0)))

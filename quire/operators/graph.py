@@ -129,13 +129,18 @@ def edge_statistics(edge_rows: DataFrame) -> DataFrame:
         *[F.count_if(F.col("relation") == r).alias(r) for r in ("page_contains_visual", "section_contains_visual", "page_contains_visuals", "section_contains_visuals", "document_contains_visuals")])
 
 
-def grouping_edges(anchor_rows: DataFrame, node_rows: DataFrame) -> DataFrame:
-    """One edge a page over all its anchors: ordered members, number of visuals and their types."""
-    a = anchor_rows.select("doc_id", "page", F.col("anchor_id"), "type").distinct()
-    kinds = a.groupBy("doc_id", "page", "type").agg(F.count("*").alias("n"))
-    kinds = kinds.groupBy("doc_id", "page").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("visual_types"))
-    m = a.groupBy("doc_id", "page").agg(F.count("*").alias("num_visuals"), F.array_sort(F.collect_set("anchor_id")).alias("members"))
-    return m.join(kinds, ["doc_id", "page"])
+def grouping_edges(anchor_rows: DataFrame, by: str = "page", key: str | None = None) -> DataFrame:
+    """One edge over all anchors of a page, section or document: ``doc_id, [key,] members`` (ordered),
+    ``num_visuals`` and ``visual_types``. ``by``: page (key ``page``), section (key ``title_id``, anchors
+    without one stay out) or document. ``anchor_rows``: doc_id, anchor_id, type and the key.
+    Ids are gathered per group; a document's anchors are as many as its visuals."""
+    keys = ["doc_id", *([key or {"page": "page", "section": "title_id"}[by]] if by != "document" else [])]
+    a = anchor_rows.select(*keys, "anchor_id", "type").distinct()
+    a = a.filter(F.col(keys[-1]).isNotNull()) if by == "section" else a
+    kinds = a.groupBy(*keys, "type").agg(F.count("*").alias("n"))
+    kinds = kinds.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("visual_types"))
+    m = a.groupBy(*keys).agg(F.count("*").alias("num_visuals"), F.array_sort(F.collect_set("anchor_id")).alias("members"))
+    return m.join(kinds, keys)
 
 
 # ------------------------------------------------------- building from layout

@@ -17,10 +17,11 @@ from quire.schema import CAPTION_TYPES, TITLE_TYPES
 PAGE = ["doc_id", "page"]
 
 
-def layout(blocks: DataFrame) -> DataFrame:
-    """Distinct blocks with box corners as columns (null where the box is null)."""
-    b = blocks.select("doc_id", "block_id", "page", "bbox", "block_type", "text", "rec_conf").distinct()
-    return b.select("doc_id", "block_id", "page", *[c.alias(k) for k, c in G.box(F.col("bbox")).items()], F.col("block_type").alias("type"), "text", "rec_conf")
+def layout(blocks: DataFrame, text: bool = True) -> DataFrame:
+    """Distinct blocks with box corners as columns (null where the box is null). Without ``text`` only the
+    columns of the layout are read, compared and moved."""
+    b = blocks.select("doc_id", "block_id", "page", "bbox", "block_type", *(["text", "rec_conf"] if text else [])).distinct()
+    return b.select("doc_id", "block_id", "page", *[c.alias(k) for k, c in G.box(F.col("bbox")).items()], F.col("block_type").alias("type"), *(["text", "rec_conf"] if text else []))
 
 
 def of_type(blocks: DataFrame, *types: str) -> DataFrame:
@@ -167,3 +168,42 @@ def locate(blocks: DataFrame, hint: str) -> DataFrame:
     s = G.location_score((F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2, F.col("width"), F.col("height"), hint)
     best = v.withColumn("score", s).groupBy(*PAGE).agg(F.max(F.struct(F.round("score", 9).alias("score"), (-F.col("block_id")).alias("b"))).alias("m"))
     return best.select(*PAGE, (-F.col("m.b")).alias("block_id"), F.col("m.score").alias("score"))
+
+
+def block_graph(blocks: DataFrame, page_height: float = 1584.0) -> DataFrame:
+    """The graph of a document's blocks: ``doc_id, src, dst, kind, weight``, one arc a pair, of the first kind that gives
+    it: reading order (``before``), nearest boxes (``spatial``), title to content, visual to caption,
+    list item to the next, lowest block to the next page's highest."""
+    near = page_knn(blocks)
+    parts = (
+        reading_order(blocks).filter("next_id is not null").select("doc_id", F.col("block_id").alias("src"), F.col("next_id").alias("dst"), F.lit("before").alias("kind"), F.lit(1.0).alias("weight")),
+        near.select("doc_id", "src", "dst", F.lit("spatial").alias("kind"), (1.5 / (1.0 + F.col("distance") / 300.0)).alias("weight")),
+        title_children(blocks, page_height).select("doc_id", F.col("title_id").alias("src"), F.col("block_id").alias("dst"), F.lit("title").alias("kind"), F.lit(0.8).alias("weight")),
+        below_of(blocks, ("figure", "table", "chart", "map", "diagram", "graph"), CAPTION_TYPES, 0.2 * page_height).select("doc_id", "src", "dst", F.lit("caption").alias("kind"), F.lit(0.9).alias("weight")),
+        below_of(blocks, ("list",), ("list",), 0.1 * page_height, 0.2).select("doc_id", "src", "dst", F.lit("list").alias("kind"), F.lit(0.7).alias("weight")),
+        page_chain(blocks).select("doc_id", "src", "dst", F.lit("page").alias("kind"), F.lit(0.5).alias("weight")))
+    every = None
+    for no, part in enumerate(parts):
+        part = part.withColumn("_no", F.lit(no))
+        every = part if every is None else every.unionByName(part)
+    best = every.groupBy("doc_id", "src", "dst").agg(F.min(F.struct("_no", "kind", "weight")).alias("m"))
+    return best.select("doc_id", "src", "dst", "m.kind", "m.weight")
+
+
+# How a hint names a place beside another unit, and the words of directions.
+BESIDE = r"(below|above|under|over|next to|beside)\s+((?:figure|table|chart)\s*[0-9]+)"
+DIRECTIONS = {"top": ("top", "upper", "above"), "bottom": ("bottom", "lower", "below"), "left": ("left",), "right": ("right",), "center": ("center", "middle")}
+
+
+def spatial_hint(hint):
+    """The unit a hint refers to and the relation to it (null where it names none), and which directions it names."""
+    low = F.lower(F.coalesce(hint, F.lit("")))
+
+    def names(words):
+        found = F.contains(low, F.lit(words[0]))
+        for w in words[1:]:
+            found = found | F.contains(low, F.lit(w))
+        return found
+
+    return F.struct(F.nullif(F.regexp_extract(low, BESIDE, 1), F.lit("")).alias("relation"), F.nullif(F.regexp_extract(low, BESIDE, 2), F.lit("")).alias("unit"),
+                    *[names(words).alias(d) for d, words in DIRECTIONS.items()])

@@ -1,7 +1,7 @@
 """Graphs of a page's blocks: personalised PageRank, hops, degrees, matching.
 
-Graphs are as small as a page, so each is one grouped numpy kernel; the number
-of graphs is what grows.
+Graphs as small as a page are one grouped numpy kernel each; graphs of whole
+documents are ranked by joins.
 """
 
 from __future__ import annotations
@@ -11,20 +11,21 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.session import cut
+
 
 def pagerank_kernel(src, dst, weight, nodes, personal=None, damping=0.85, tol=1e-6, rounds=100) -> np.ndarray:
     """Weighted personalised PageRank; mass of nodes without arcs goes to the personalisation."""
     n = len(nodes)
     at = {x: i for i, x in enumerate(nodes)}
     p = np.full(n, 1.0 / n) if personal is None else np.asarray(personal, float) / np.sum(personal)
-    m = np.zeros((n, n))
-    for s, d, w in zip(src, dst, weight):
-        m[at[d], at[s]] += w
-    out = m.sum(axis=0)
-    m = np.divide(m, out, out=np.zeros_like(m), where=out > 0)
+    a, b, w = np.array([at[x] for x in src], int), np.array([at[x] for x in dst], int), np.asarray(weight, float)
+    out = np.bincount(a, w, n) if len(w) else np.zeros(n)
+    share = w / out[a] if len(w) else w
     r = p.copy()
     for _ in range(rounds):
-        new = damping * (m @ r + r[out == 0].sum() * p) + (1 - damping) * p
+        flow = np.bincount(b, share * r[a], n) if len(w) else np.zeros(n)
+        new = damping * (flow + r[out == 0].sum() * p) + (1 - damping) * p
         done = np.abs(new - r).sum() < n * tol
         r = new
         if done:
@@ -53,6 +54,37 @@ def page_rank(nodes: DataFrame, arcs: DataFrame, by: list[str], damping: float =
     return g.mapInPandas(run, f"{kinds}, block_id bigint, rank double")
 
 
+def document_rank(nodes: DataFrame, arcs: DataFrame, by: list[str], damping: float = 0.85, rounds: int = 20, tol: float = 1e-6) -> DataFrame:
+    """PageRank of graphs of any size, as joins: ``by, block_id, rank``. ``nodes``: by, block_id, personal; ``arcs``: by, src, dst, weight.
+
+    No graph is handled by one task; every round is kept in the shared folder.
+    Ends when no node of any graph moves by more than ``tol``, or after ``rounds``.
+    """
+    n = cut(nodes.groupBy(*by, "block_id").agg(F.max(F.greatest("personal", F.lit(1e-8))).alias("p")))
+    n = cut(n.join(n.groupBy(*by).agg(F.sum("p").alias("_all")), by).select(*by, "block_id", (F.col("p") / F.col("_all")).alias("p")))
+    a = arcs.groupBy(*by, "src", "dst").agg(F.sum("weight").alias("w"))
+    a = cut(a.join(a.groupBy(*by, "src").agg(F.sum("w").alias("_out")), [*by, "src"]).filter("_out > 0").select(*by, F.col("src").alias("block_id"), "dst", (F.col("w") / F.col("_out")).alias("share")))
+    ends = cut(n.join(a.select(*by, "block_id").distinct(), [*by, "block_id"], "left_anti").select(*by, "block_id"))  # nodes without arcs out
+    r = n.withColumn("r", F.col("p"))
+    for _ in range(rounds):
+        flow = r.join(a, [*by, "block_id"]).groupBy(*by, F.col("dst").alias("block_id")).agg(F.sum(F.col("r") * F.col("share")).alias("flow"))
+        lost = r.join(ends, [*by, "block_id"], "left_semi").groupBy(*by).agg(F.sum("r").alias("lost"))
+        new = r.join(flow, [*by, "block_id"], "left").join(lost, by, "left")
+        rank = damping * (F.coalesce("flow", F.lit(0.0)) + F.coalesce("lost", F.lit(0.0)) * F.col("p")) + (1 - damping) * F.col("p")
+        new = cut(new.select(*by, "block_id", "p", rank.alias("new"), F.abs(rank - F.col("r")).alias("moved")))
+        r = new.select(*by, "block_id", "p", F.col("new").alias("r"))
+        if (new.agg(F.max("moved")).first()[0] or 0.0) < tol:
+            break
+    return r.select(*by, "block_id", F.col("r").alias("rank"))
+
+
+def mix_ranks(ranks: DataFrame, scores: DataFrame, by: list[str], share: float = 0.7) -> DataFrame:
+    """Ranks scaled to the largest of their graph, mixed with the blocks' own scores: ``by, block_id, score``."""
+    top = ranks.groupBy(*by).agg(F.max("rank").alias("_top"))
+    j = ranks.join(top, by).join(scores.select(*by, "block_id", F.col("score").alias("_s")), [*by, "block_id"], "left")
+    return j.select(*by, "block_id", (share * F.when(F.col("_top") > 0, F.col("rank") / F.col("_top")).otherwise(0.0) + (1 - share) * F.coalesce("_s", F.lit(0.0))).alias("score"))
+
+
 def degrees(nodes: DataFrame, arcs: DataFrame, by: list[str]) -> DataFrame:
     """Mean in- and out-degree of each graph, nodes without arcs included."""
     n = nodes.groupBy(*by).agg(F.count("*").alias("nodes"))

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.session import cut
+
 QUERY_BLOCK = 4096
 
 
@@ -80,27 +82,31 @@ def maxsim(query_tokens: DataFrame, doc_tokens: DataFrame, k: int = 10, block: i
     ``query_tokens``: query_id, v; ``doc_tokens``: doc, v. Queries are met in
     blocks of about ``block`` against all documents; ties go to the smaller doc.
     """
-    docs = doc_tokens.filter(F.col("v").isNotNull()).groupBy("doc").agg(F.collect_list("v").alias("vs"))
-    q = query_tokens.filter(F.col("v").isNotNull()).groupBy("query_id").agg(F.collect_list("v").alias("qs"))
+    docs = cut(doc_tokens.filter(F.col("v").isNotNull()).groupBy("doc").agg(F.collect_list("v").alias("vs")))  # grouped once for all blocks
+    q = cut(query_tokens.filter(F.col("v").isNotNull()).groupBy("query_id").agg(F.collect_list("v").alias("qs")))
     kind, qkind = docs.schema["doc"].dataType.simpleString(), q.schema["query_id"].dataType.simpleString()
     n_blocks = max(1, -(-q.count() // block))
     found = None
     for i in range(n_blocks):
-        mine = [(r.query_id, np.array(r.qs, float)) for r in q.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == i).collect()]  # one block of the stated queries
-        shared = docs.sparkSession.sparkContext.broadcast(mine)
+        rows = q.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == i).collect()  # one block of the stated queries
+        starts = np.cumsum([0, *(len(r.qs) for r in rows)])[:-1]
+        shared = docs.sparkSession.sparkContext.broadcast(([r.query_id for r in rows], starts, np.array([v for r in rows for v in r.qs], float)))
 
         def score(batches, shared=shared):
+            names, starts, tokens = shared.value
             for b in batches:
-                ids, best = b.column(0).to_pylist(), {x: [] for x, _ in shared.value}
-                for doc, vs in zip(ids, b.column(1).to_pylist()):
-                    v = np.array(vs, float).T
-                    for x, tokens in shared.value:
-                        s = (tokens @ v).max(axis=1)
-                        best[x].append((-round(float(s.mean()), 9), doc, float(s.sum())))
-                rows = [(x, doc, -m, s) for x, found in best.items() for m, doc, s in sorted(found)[:k]]
-                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((None, b.schema.field(0).type, pa.float64(), pa.float64()))] if rows else
-                                                 [pa.array([], pa.int64()), pa.array([], b.schema.field(0).type), pa.array([], pa.float64()), pa.array([], pa.float64())],
-                                                 names=["query_id", "doc", "mean_score", "sum_score"])
+                ids, texts = b.column(0), [np.array(vs, float) for vs in b.column(1).to_pylist()]
+                if not names or not texts:
+                    continue
+                firsts = np.cumsum([0, *map(len, texts)])[:-1]
+                best = np.maximum.reduceat(tokens @ np.concatenate(texts).T, firsts, axis=1)  # query tokens x documents
+                sums = np.add.reduceat(best, starts, axis=0)  # queries x documents
+                means = np.round(sums / np.diff([*starts, len(tokens)])[:, None], 9)
+                keys = np.argsort(np.argsort(np.array(ids.to_pylist(), dtype=object)))  # ties go to the smaller document
+                order = np.lexsort((np.broadcast_to(keys, means.shape), -means), axis=1)[:, :k]
+                at = np.arange(len(names))[:, None]
+                yield pa.RecordBatch.from_arrays([pa.array([names[x] for x in np.repeat(np.arange(len(names)), order.shape[1])]), ids.take(pa.array(order.ravel())),
+                                                  pa.array(means[at, order].ravel()), pa.array(sums[at, order].ravel())], names=["query_id", "doc", "mean_score", "sum_score"])
 
         part = docs.mapInArrow(score, f"query_id {qkind}, doc {kind}, mean_score double, sum_score double")
         found = part if found is None else found.unionByName(part)

@@ -73,10 +73,24 @@ def sub_graph(spark, d):
     return H.sub_graph(e, n, F.col("edge_type") == "contextual")[1].groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
+def _grouped(g, *keys):
+    return g.select("doc_id", *keys, "num_visuals", F.size("visual_types").cast("bigint").alias("n_types"), F.array_join("members", ",").alias("members"))
+
+
 def page_grouping(spark, d):
     e, n = _en(spark, d)
-    g = H.grouping_edges(H.anchors(H.edges_of(e, "contextual"), n), n)
-    return g.select("doc_id", "page", "num_visuals", F.size("visual_types").cast("bigint").alias("n_types"), F.array_join("members", ",").alias("members"))
+    return _grouped(H.grouping_edges(H.anchors(H.edges_of(e, "contextual"), n)), "page")
+
+
+def section_grouping(spark, d):
+    e, n = _en(spark, d)
+    a = H.anchors(H.edges_of(e, "contextual"), n).join(H.section_titles(e, n), ["doc_id", "anchor_id"])
+    return _grouped(H.grouping_edges(a, "section"), "title_id")
+
+
+def document_grouping(spark, d):
+    e, n = _en(spark, d)
+    return _grouped(H.grouping_edges(H.anchors(H.edges_of(e, "contextual"), n), "document"))
 
 
 def _units(spark, d):
@@ -100,7 +114,7 @@ def hypergraph_edges(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (hypergraph_stats, hypergraph_members, graph_nodes, graph_pages, visual_types_map, edges_by_type, anchor_of_edge, caption_of_edge, related_of_edge,
-                                   edge_text, co_members, title_of_anchor, sub_graph, page_grouping, visual_units, unit_stats, hypergraph_edges)}
+                                   edge_text, co_members, title_of_anchor, sub_graph, page_grouping, section_grouping, document_grouping, visual_units, unit_stats, hypergraph_edges)}
 
 RAW = """WITH RECURSIVE rj AS (SELECT DISTINCT document_id, CAST(raw_record AS JSON) AS j FROM hypergraphs WHERE hyperedges IS NULL AND raw_record IS NOT NULL AND json_valid(raw_record)),
  rl AS (SELECT document_id, CAST(coalesce(j->'$.hyperedges', j->'$.document.graph.hyperedges') AS JSON[]) AS l FROM rj),
@@ -120,6 +134,7 @@ E = RAW + """ g AS (SELECT DISTINCT document_id, hyperedges FROM hypergraphs WHE
  n AS (SELECT DISTINCT doc_id, b.block_id AS block_id, b.block_type AS type, b.page AS page, b.bbox AS bbox, b.text AS text, b.rec_conf AS rec_conf FROM (SELECT document_id AS doc_id, unnest(blocks) AS b FROM nb)),
  j AS (SELECT mb.doc_id, mb.edge_id, mb.pos, mb.block_id, n.type, n.page, n.text, (coalesce(lower(n.type) IN ('figure','table','chart','map','diagram','graph'), false) OR contains(lower(mb.block_id), 'anchor')) AS anchor
    FROM mb JOIN n USING (doc_id, block_id))"""
+_ANCHORS = ", a AS (SELECT DISTINCT doc_id, page, block_id, type FROM (SELECT j.* FROM j JOIN ed USING (doc_id, edge_id) WHERE anchor AND ed.edge_type = 'contextual' QUALIFY row_number() OVER (PARTITION BY doc_id, edge_id ORDER BY pos, block_id) = 1))"
 _FIRST = " QUALIFY row_number() OVER (PARTITION BY doc_id, edge_id ORDER BY pos, block_id) = 1"
 _REL = "'text','title','figure_caption','table_caption','chart_caption','map_caption','diagram_caption','graph_caption'"
 _UNITS = B + MERGED + ", " + _CAPTION + f""", t AS (SELECT * FROM b WHERE type IN ('title','section_header') AND x1 IS NOT NULL),
@@ -145,7 +160,8 @@ SQL = {
  t AS (SELECT doc_id, edge_id, block_id, text FROM c WHERE type IN ('title','section_header')""" + _FIRST + """)
  SELECT c.doc_id, c.block_id AS anchor_id, t.block_id AS title_id, t.text AS title FROM c JOIN t USING (doc_id, edge_id) WHERE c.anchor QUALIFY row_number() OVER (PARTITION BY c.doc_id, c.block_id ORDER BY c.seq, c.edge_id) = 1""",
     "sub_graph": E + " SELECT doc_id, count(*) AS n FROM n WHERE (doc_id, block_id) IN (SELECT (mb.doc_id, mb.block_id) FROM mb JOIN ed USING (doc_id, edge_id) WHERE edge_type = 'contextual') GROUP BY doc_id",
-    "page_grouping": E + ", a AS (SELECT DISTINCT doc_id, page, block_id, type FROM (SELECT j.* FROM j JOIN ed USING (doc_id, edge_id) WHERE anchor AND ed.edge_type = 'contextual'" + _FIRST + ")) SELECT doc_id, page, count(*) AS num_visuals, count(DISTINCT type) AS n_types, string_agg(block_id, ',' ORDER BY block_id) AS members FROM a GROUP BY ALL",
+    "page_grouping": E + _ANCHORS + " SELECT doc_id, page, count(*) AS num_visuals, count(DISTINCT type) AS n_types, string_agg(block_id, ',' ORDER BY block_id) AS members FROM a GROUP BY ALL",
+    "document_grouping": E + _ANCHORS + ", x AS (SELECT DISTINCT doc_id, block_id, type FROM a) SELECT doc_id, count(*) AS num_visuals, count(DISTINCT type) AS n_types, string_agg(DISTINCT block_id, ',' ORDER BY block_id) AS members FROM x GROUP BY ALL",
     "visual_units": _UNITS + " SELECT doc_id, page, block_id, type, caption_id, title_id, total_blocks, is_cross_page, 1 + is_cross_page::INT AS page_span_size FROM u",
     "unit_stats": _UNITS + " SELECT doc_id, count(*) AS units, count(caption_id) AS captioned, count(title_id) AS titled, count(*) FILTER (WHERE merged > 1) AS merged_units, round(avg(total_blocks), 6) AS mean_blocks, round(100.0*count(caption_id)/count(*), 6) AS captioned_percent FROM u GROUP BY doc_id",
     "hypergraph_edges": _UNITS + """, x AS (SELECT *, doc_id || '_block_' || block_id || '_anchor' AS an, doc_id || '_block_' || block_id || '_caption' AS cn, doc_id || '_block_' || block_id || '_title' AS tn FROM u)
@@ -153,3 +169,5 @@ SQL = {
  UNION ALL SELECT doc_id, page, doc_id || '_edge_' || block_id || '_section_contains_visual', 'containment', 'section_contains_visual', tn || ',' || an, type FROM x WHERE title_id IS NOT NULL
  UNION ALL SELECT doc_id, page, doc_id || '_edge_' || block_id || '_contextual', 'contextual', 'contextual', an || CASE WHEN caption_id IS NULL THEN '' ELSE ',' || cn END || CASE WHEN title_id IS NULL THEN '' ELSE ',' || tn END, type FROM x""",
 }
+SQL["section_grouping"] = ("WITH y AS (" + SQL["title_of_anchor"] + "), z AS (" + E + _ANCHORS + " SELECT * FROM a) SELECT doc_id, title_id, count(*) AS num_visuals, count(DISTINCT type) AS n_types, "
+                           "string_agg(DISTINCT block_id, ',' ORDER BY block_id) AS members FROM (SELECT DISTINCT z.doc_id, y.title_id, z.block_id, z.type FROM z JOIN y ON y.doc_id = z.doc_id AND y.anchor_id = z.block_id) GROUP BY ALL")
