@@ -101,7 +101,9 @@ def split_packed(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
             parses.append(F.when(ok, F.struct(F.lit(2 * k + (not q)).alias("dialect"), F.lit(choices).alias("choices"),
                                               plain.alias("items"))))
     cand = texts.select("field_name", "raw", "n", F.array_compact(F.array(*parses)).alias("p"))
-    # Equal parses of different dialects are one candidate: the first dialect stands for them.
+    # Equal parses of different dialects are one candidate: the first, which is the cheapest, stands for them.
+    items = F.transform("p", lambda x: x["items"])
+    cand = cand.withColumn("_i", items).withColumn("p", F.filter("p", lambda x, k: F.array_position("_i", x["items"]) == k + 1))
     # An outer explode (there always is a parse): a plain one would leave its filter, which is
     # all the parsing, as a constraint that is then checked on every row joined by ``raw``.
     cand = cut(cand.select("field_name", "raw", "n", F.size("p").alias("n_parses"), F.explode_outer("p").alias("p"))
