@@ -291,4 +291,5 @@ SQL = {
     "json_object": "WITH h AS (SELECT DISTINCT document_id, raw_record FROM hypergraphs WHERE raw_record IS NOT NULL) SELECT document_id, json_valid(raw_record) AS read, coalesce(json_extract_string(raw_record, '$.document_id'), json_extract_string(raw_record, '$.document.graph.document_id')) AS inner_id FROM h",
     "json_recover": R + " SELECT result_id, 1 AS n, CAST(coalesce(images_count, 1) AS INTEGER) - 1 AS first_index FROM r",
     "intent_parse": SM + " SELECT sample_idx, CASE WHEN regexp_matches(lower(question), 'how many|number of|count of|total number') THEN 'count' ELSE 'locate' END AS intent_type, CASE WHEN regexp_matches(lower(question), 'how many|number of|count of|total number') THEN 'ok' ELSE 'failed' END AS status, CASE WHEN regexp_matches(lower(question), 'how many|number of|count of|total number') THEN 'DOCUMENT' END AS level FROM s",
+    "page_list": SM + r""", p AS (SELECT sample_idx, trim(evidence_pages) AS t FROM s) SELECT sample_idx, coalesce(array_to_string(list_filter(CASE WHEN regexp_full_match(t, '\[\s*(\d+(\s*,\s*\d+)*)?\s*\]') THEN CAST(t AS INTEGER[]) WHEN regexp_full_match(t, '\d+') THEN [CAST(t AS INTEGER)] END, lambda x: x > 0), ','), '') AS pages FROM p""",
 }

@@ -35,7 +35,7 @@ def related_texts(spark, d):
 
 
 def block_graph(spark, d):
-    return L.block_graph(_b(spark, d)).withColumn("weight", F.round("weight", 6))
+    return L.block_graph(_b(spark, d)).withColumn("weight", F.round("weight", 4))
 
 
 def document_rank(spark, d):
@@ -93,5 +93,5 @@ SQL = {
         f"SELECT doc_id, title_id, block_id, 2, 'title', 0.8 FROM ({LAYOUT['title_child']})",
         f"SELECT doc_id, src, dst, 3, 'caption', 0.9 FROM ({LAYOUT['caption_below']})",
         f"SELECT doc_id, src, dst, 4, 'list', 0.7 FROM ({LAYOUT['list_next']})",
-        f"SELECT doc_id, src, dst, 5, 'page', 0.5 FROM ({LAYOUT['page_chain']})")) + ") SELECT doc_id, src, dst, kind, round(weight, 6) AS weight FROM al QUALIFY row_number() OVER (PARTITION BY doc_id, src, dst ORDER BY no, weight) = 1",
+        f"SELECT doc_id, src, dst, 5, 'page', 0.5 FROM ({LAYOUT['page_chain']})")) + ") SELECT doc_id, src, dst, kind, round(weight, 4) AS weight FROM al QUALIFY row_number() OVER (PARTITION BY doc_id, src, dst ORDER BY no, weight) = 1",
 }
