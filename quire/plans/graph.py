@@ -94,7 +94,7 @@ def document_grouping(spark, d):
 
 
 def _units(spark, d):
-    b = L.layout(table(spark, d, "ocr_blocks"))
+    b = L.layout(table(spark, d, "ocr_blocks"), text=False)
     v = L.merge_adjacent(b)
     return H.build_units(v, L.captions(v, b), L.nearest_titles(v, b))
 

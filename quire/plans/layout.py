@@ -24,16 +24,16 @@ MERGED = f"""v AS (SELECT *, lag(x1) OVER w AS px1, lag(x2) OVER w AS px2, lag(y
    max(x2) AS x2, max(y2) AS y2, count(*) AS merged FROM i GROUP BY doc_id, page, isle)"""
 
 
-def _b(spark, d):
-    return L.layout(table(spark, d, "ocr_blocks"))
+def _b(spark, d, text=True):
+    return L.layout(table(spark, d, "ocr_blocks"), text)
 
 
 def blocks_by_type_page(spark, d):
-    return _b(spark, d).groupBy("doc_id", "page", "type").agg(F.count("*").alias("n"))
+    return _b(spark, d, text=False).groupBy("doc_id", "page", "type").agg(F.count("*").alias("n"))
 
 
 def type_histogram(spark, d):
-    return _b(spark, d).groupBy("type").agg(F.count("*").alias("n"))
+    return _b(spark, d, text=False).groupBy("type").agg(F.count("*").alias("n"))
 
 
 def ocr_doc_stats(spark, d):
@@ -50,16 +50,16 @@ def caption_refine(spark, d):
 
 
 def merge_adjacent(spark, d):
-    return L.merge_adjacent(_b(spark, d))
+    return L.merge_adjacent(_b(spark, d, text=False))
 
 
 def caption_join(spark, d):
-    b = _b(spark, d)
+    b = _b(spark, d, text=False)
     return L.captions(L.merge_adjacent(b), b)
 
 
 def title_asof(spark, d):
-    b = _b(spark, d)
+    b = _b(spark, d, text=False)
     return L.nearest_titles(L.merge_adjacent(b), b)
 
 
@@ -71,32 +71,32 @@ def visual_types(spark, d):
 
 
 def reading_order(spark, d):
-    return L.reading_order(_b(spark, d))
+    return L.reading_order(_b(spark, d, text=False))
 
 
 def page_chain(spark, d):
-    return L.page_chain(_b(spark, d))
+    return L.page_chain(_b(spark, d, text=False))
 
 
 def spatial_pairs(spark, d):
-    return L.spatial_pairs(_b(spark, d)).select("doc_id", "page", "src", "dst", F.round("distance", 6).alias("distance"), F.round("iou", 6).alias("iou"), "direction",
+    return L.spatial_pairs(_b(spark, d, text=False)).select("doc_id", "page", "src", "dst", F.round("distance", 6).alias("distance"), F.round("iou", 6).alias("iou"), "direction",
                                                 F.round("weight", 6).alias("weight"))
 
 
 def page_knn(spark, d):
-    return L.page_knn(_b(spark, d)).withColumn("distance", F.round("distance", 6))
+    return L.page_knn(_b(spark, d, text=False)).withColumn("distance", F.round("distance", 6))
 
 
 def title_child(spark, d):
-    return L.title_children(_b(spark, d))
+    return L.title_children(_b(spark, d, text=False))
 
 
 def caption_below(spark, d):
-    return L.below_of(_b(spark, d), ("figure", "table", "chart", "map", "diagram", "graph"), L.CAPTION_TYPES, 0.2 * 1584)
+    return L.below_of(_b(spark, d, text=False), ("figure", "table", "chart", "map", "diagram", "graph"), L.CAPTION_TYPES, 0.2 * 1584)
 
 
 def list_next(spark, d):
-    return L.below_of(_b(spark, d), ("list",), ("list",), 0.1 * 1584, 0.2)
+    return L.below_of(_b(spark, d, text=False), ("list",), ("list",), 0.1 * 1584, 0.2)
 
 
 def point_in_box(spark, d):
@@ -111,11 +111,11 @@ def box_features(spark, d):
 
 
 def spatial_locate(spark, d):
-    return L.locate(_b(spark, d), "top left")
+    return L.locate(_b(spark, d, text=False), "top left")
 
 
 def page_dimensions(spark, d):
-    return L.page_extent(_b(spark, d))
+    return L.page_extent(_b(spark, d, text=False))
 
 
 QUERIES = {f.__name__: f for f in (blocks_by_type_page, type_histogram, ocr_doc_stats, semantic_markers, caption_refine, merge_adjacent, caption_join, title_asof, visual_types,
