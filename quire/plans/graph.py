@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quire.operators import graph as H
 from quire.operators import layout as L
 from quire.plans.layout import _CAPTION, B, MERGED, OVER
-from quire.session import table
+from quire.session import cut, table
 
 
 def _g(spark, d):
@@ -15,8 +15,9 @@ def _g(spark, d):
 
 
 def _en(spark, d):
+    """Edges, kept since their records are nested and used several times, and nodes."""
     g = _g(spark, d)
-    return H.edges(g), H.nodes(g)
+    return cut(H.edges(g)), H.nodes(g)
 
 
 def hypergraph_stats(spark, d):

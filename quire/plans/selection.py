@@ -10,61 +10,57 @@ from quire.operators import select as S
 from quire.operators import tools as T
 from quire.operators.retrieval import merge_tools
 from quire.plans import tools as Q
-from quire.plans.graph import _en
 from quire.schema import TITLE_TYPES
 from quire.session import cut
 
 
-def _results(spark, d):
+def _results(a):
     """Units of every tool the plan names, in the plan's order: sample_idx, unit, tool, tool_seq, seq, score."""
-    plan = T.route(Q._w(spark, d), Q._kw(spark, d))
-    best = Q.unit_keyword_topk(spark, d).select("sample_idx", F.col("edge_id").alias("unit"), F.col("score"), F.lit("keyword_search").alias("tool"))
-    rows = best
-    for name, frame in (("find_by_id", Q.find_by_id(spark, d).groupBy("sample_idx", "edge_id").agg(F.max("score").alias("score"))), ("find_by_page", Q.find_by_page_units(spark, d)),
-                        ("find_by_section", Q.find_by_section(spark, d)), ("enumerate", Q.enumerate_items(spark, d).withColumn("score", F.lit(1.0)))):
+    plan = T.route(a.wanted, a.keywords)
+    rows = a.search().select("sample_idx", F.col("edge_id").alias("unit"), "score", F.lit("keyword_search").alias("tool"))
+    for name, frame in (("find_by_id", a.by_id().groupBy("sample_idx", "edge_id").agg(F.max("score").alias("score"))), ("find_by_page", a.by_page()), ("find_by_section", a.by_section()),
+                        ("enumerate", a.items().withColumn("score", F.lit(1.0)))):
         rows = rows.unionByName(frame.select("sample_idx", F.col("edge_id").alias("unit"), "score", F.lit(name).alias("tool")))
-    return cut(rows.join(plan.withColumnRenamed("seq", "tool_seq"), ["sample_idx", "tool"]).withColumn("seq", F.col("unit")))
+    return merge_tools(cut(rows.join(plan.withColumnRenamed("seq", "tool_seq"), ["sample_idx", "tool"]).withColumn("seq", F.col("unit"))))
 
 
 def execute_route(spark, d):
-    return merge_tools(_results(spark, d)).select("sample_idx", "unit", "tool", F.round("score", 6).alias("score"))
+    return _results(Q.Asked(spark, d)).select("sample_idx", "unit", "tool", F.round("score", 6).alias("score"))
 
 
 def _candidates(spark, d):
-    u, kw = Q._u(spark, d), Q._kw(spark, d)
-    e, n = _en(spark, d)
-    c = merge_tools(_results(spark, d)).select("sample_idx", "unit", "tool", "tool_seq", "score")
-    w = Q._w(spark, d).select("sample_idx", "doc_id", "intent", "level", (F.size("ids") + F.size("pages")).alias("hard"), F.col("section").isNotNull().alias("in_section"))
+    a = Q.Asked(spark, d)
+    c = cut(_results(a).select("sample_idx", "unit", "tool", "tool_seq", "score"))
+    w = a.wanted.select("sample_idx", "doc_id", "intent", "level", (F.size("ids") + F.size("pages")).alias("hard"), F.col("section").isNotNull().alias("in_section"))
     c = c.join(w, "sample_idx")
     # One score a keyword of the question and unit: whether the unit holds it.
-    found = Rt.matches(kw, u, "edge_id", "text").withColumnRenamed("edge_id", "unit").withColumn("_h", F.lit(1.0))
-    s = c.select("sample_idx", "doc_id", "unit").join(kw, ["sample_idx", "doc_id"]).join(found, ["doc_id", "keyword", "unit"], "left")
+    found = a.held.withColumnRenamed("edge_id", "unit").withColumn("_h", F.lit(1.0))
+    s = c.select("sample_idx", "doc_id", "unit").join(a.keywords, ["sample_idx", "doc_id"]).join(found, ["doc_id", "keyword", "unit"], "left")
     s = s.groupBy("sample_idx", "unit").agg(F.transform(F.array_sort(F.collect_list(F.struct("keyword", F.coalesce("_h", F.lit(0.0)).alias("h")))), lambda x: x["h"]).alias("kw_scores"))
     words = F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"\S+"), F.lit(0)))
-    r = H.related(e, n).select(F.col("edge_id").alias("unit"), F.struct(F.col("block_id").alias("id"), words.alias("words"), (~F.contains("type", F.lit("caption"))).alias("related")).alias("t"))
+    r = H.related(a.edges, a.nodes).select(F.col("edge_id").alias("unit"), F.struct(F.col("block_id").alias("id"), words.alias("words"), (~F.contains("type", F.lit("caption"))).alias("related")).alias("t"))
     t = r.groupBy("unit").agg(F.array_sort(F.collect_set("t")).alias("texts"))
     hard = c.filter(F.col("tool").isin("find_by_id", "find_by_page", "find_by_section")).groupBy("sample_idx").agg(F.count("*").alias("hits"))
-    return (c.join(s, ["sample_idx", "unit"], "left").join(t, "unit", "left").join(u.select(F.col("edge_id").alias("unit"), F.array("page").alias("pages")), "unit", "left").join(hard, "sample_idx", "left")
-            .withColumn("satisfied", ((F.col("hard") > 0) | F.col("in_section")) & (F.coalesce("hits", F.lit(0)) > 0)).withColumn("succeeded", F.col("tool") == "enumerate")
-            .withColumn("crop", F.lit(True)).withColumn("seq", F.row_number().over(Rt.Window.partitionBy("sample_idx").orderBy("tool_seq", F.col("score").desc(), "unit"))))
+    return cut(c.join(s, ["sample_idx", "unit"], "left").join(t, "unit", "left").join(a.units.select(F.col("edge_id").alias("unit"), F.array("page").alias("pages")), "unit", "left").join(hard, "sample_idx", "left")
+               .withColumn("satisfied", ((F.col("hard") > 0) | F.col("in_section")) & (F.coalesce("hits", F.lit(0)) > 0)).withColumn("succeeded", F.col("tool") == "enumerate")
+               .withColumn("crop", F.lit(True)).withColumn("seq", F.row_number().over(Rt.Window.partitionBy("sample_idx").orderBy("tool_seq", F.col("score").desc(), "unit"))))
 
 
 def select_density(spark, d):
-    return S.select_evidence(cut(_candidates(spark, d)), S.Rules())
+    return S.select_evidence(_candidates(spark, d), S.Rules())
 
 
 def select_budget(spark, d):
     """As ``select_density``, within a budget of eight input units."""
-    return S.select_evidence(cut(_candidates(spark, d)), S.Rules(budget=8.0))
+    return S.select_evidence(_candidates(spark, d), S.Rules(budget=8.0))
 
 
 def prune_related(spark, d):
     """Related texts worth showing beside each candidate of the keyword search."""
-    e, n = _en(spark, d)
-    kw = Q._kw(spark, d)
-    top = Q.unit_keyword_topk(spark, d).select("sample_idx", F.col("edge_id").alias("unit"))
-    r = H.related(e, n).select(F.col("edge_id").alias("unit"), "pos", "type", Rt.normalize_ocr(F.coalesce("text", F.lit(""))).alias("text"))
-    per = kw.groupBy("sample_idx").agg(F.array_sort(F.collect_set("keyword")).alias("k"))
+    a = Q.Asked(spark, d)
+    top = a.search().select("sample_idx", F.col("edge_id").alias("unit"))
+    r = H.related(a.edges, a.nodes).select(F.col("edge_id").alias("unit"), "pos", "type", Rt.normalize_ocr(F.coalesce("text", F.lit(""))).alias("text"))
+    per = a.keywords.groupBy("sample_idx").agg(F.array_sort(F.collect_set("keyword")).alias("k"))
     x = top.join(r, "unit").join(per, "sample_idx").withColumn("scores", F.transform("k", lambda w: F.contains("text", w).cast("double")))
     is_caption = F.contains("type", F.lit("caption"))
     seed = x.filter(is_caption).groupBy("sample_idx", "unit").agg(F.max_by("scores", F.aggregate("scores", F.lit(0.0), lambda a, b: a + b)).alias("scores"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
 from quire.functions.text import normalize_dashes
@@ -13,93 +15,134 @@ from quire.plans.retrieval import _DASH, _FOLD, _KW
 from quire.session import cut, table
 
 
-def _u(spark, d):
-    return cut(T.units(*_en(spark, d)))
+class Asked:
+    """What the tools of one query share, each made once: edges, nodes, units, wishes, keywords, totals."""
+
+    def __init__(self, spark, d):
+        self.spark, self.d = spark, d
+
+    def table(self, name):
+        return table(self.spark, self.d, name)
+
+    @cached_property
+    def _graph(self):
+        e, n = _en(self.spark, self.d)
+        return e, cut(n)
+
+    @property
+    def edges(self):
+        return self._graph[0]
+
+    @property
+    def nodes(self):
+        return self._graph[1]
+
+    @cached_property
+    def units(self):
+        return cut(T.units(self.edges, self.nodes))
 
+    @cached_property
+    def wanted(self):
+        return cut(T.asks(self.table("samples").select("sample_idx", "doc_id", "question").distinct()))
 
-def _w(spark, d):
-    return T.asks(table(spark, d, "samples").select("sample_idx", "doc_id", "question").distinct())
+    @cached_property
+    def keywords(self):
+        return cut(Rt.keywords(self.table("samples").distinct()))
 
+    @cached_property
+    def totals(self):
+        return self.table("ocr_documents").select(F.col("document_id").alias("doc_id"), "total_pages").distinct()
 
-def _kw(spark, d, fold=Rt.normalize_ocr):
-    return Rt.keywords(table(spark, d, "samples").distinct(), fold)
+    @cached_property
+    def held(self):
+        """Units that hold a keyword of a question on their document."""
+        return Rt.matches(self.keywords, self.units, "edge_id", "text")
 
+    def by_id(self):
+        return T.find_by_id(self.units, self.wanted)
 
-def _totals(spark, d):
-    return table(spark, d, "ocr_documents").select(F.col("document_id").alias("doc_id"), "total_pages").distinct()
+    def by_page(self):
+        return T.find_by_page(self.units, self.wanted, self.totals)
+
+    def sections(self):
+        return T.section_units(self.edges, self.nodes, self.units)
+
+    def by_section(self):
+        return T.find_by_section(cut(self.sections()), self.units, self.wanted)
+
+    def candidates(self, intent):
+        w = self.wanted.filter(F.col("intent") == intent)
+        return w, cut(T.candidates(self.units, w, self.keywords.join(w.select("sample_idx"), "sample_idx", "left_semi"), self.held))
+
+    def items(self):
+        return T.enumerate_items(self.candidates("enumerate")[1])
+
+    def search(self):
+        """Keyword search over captions and related texts: a match in the caption counts in full, one in the related texts three quarters."""
+        named = Rt.matches(self.keywords, self.units, "edge_id", "caption").withColumn("_c", F.lit(True))
+        strong = self.held.join(named, ["doc_id", "keyword", "edge_id"], "left").select("doc_id", "keyword", "edge_id", F.when(F.col("_c"), 1.0).otherwise(0.75).alias("strength"))
+        s = Rt.keyword_scores(Rt.idf(self.keywords, self.held, self.units, "edge_id"), strong, "edge_id")
+        return Rt.top_k(s, ["sample_idx"], [F.col("score").desc(), F.col("edge_id")], 5).select("sample_idx", "edge_id", F.round("score", 6).alias("score"), "matched", "rank")
 
 
 def unit_table(spark, d):
-    return _u(spark, d).select("doc_id", "edge_id", "seq", "anchor_id", "type", "page", F.md5("caption").alias("caption"), F.md5("text").alias("text"))
+    return Asked(spark, d).units.select("doc_id", "edge_id", "seq", "anchor_id", "type", "page", F.md5("caption").alias("caption"), F.md5("text").alias("text"))
 
 
 def question_constraints(spark, d):
-    a = _w(spark, d)
+    a = Asked(spark, d).wanted
     return a.select("sample_idx", F.array_join(F.transform("ids", lambda x: F.concat_ws(" ", x["kind"], x["id"])), ",").alias("ids"), "type", F.array_join("pages", ",").alias("pages"), "section", "intent", "level")
 
 
 def route_plan(spark, d):
-    return T.route(_w(spark, d), _kw(spark, d))
+    a = Asked(spark, d)
+    return T.route(a.wanted, a.keywords)
 
 
 def find_by_id(spark, d):
-    return T.find_by_id(_u(spark, d), _w(spark, d))
+    return Asked(spark, d).by_id()
 
 
 def find_by_page_units(spark, d):
-    return T.find_by_page(_u(spark, d), _w(spark, d), _totals(spark, d))
+    return Asked(spark, d).by_page()
 
 
 def find_by_section(spark, d):
-    e, n = _en(spark, d)
-    u = _u(spark, d)
-    return T.find_by_section(T.section_units(e, n, u), u, _w(spark, d))
+    return Asked(spark, d).by_section()
 
 
 def section_filter(spark, d):
     """Units below every section title."""
-    e, n = _en(spark, d)
-    return T.section_units(e, n, _u(spark, d))
-
-
-def _cands(spark, d, intent):
-    u, kw = _u(spark, d), _kw(spark, d)
-    w = _w(spark, d).filter(F.col("intent") == intent)
-    kw = kw.join(w.select("sample_idx"), "sample_idx", "left_semi")
-    return w, cut(T.candidates(u, w, kw, Rt.matches(kw, u, "edge_id", "text")))
+    return Asked(spark, d).sections()
 
 
 def enumerate_items(spark, d):
-    return T.enumerate_items(_cands(spark, d, "enumerate")[1])
+    return Asked(spark, d).items()
 
 
 def global_count(spark, d):
-    w, c = _cands(spark, d, "count")
-    b = table(spark, d, "ocr_blocks").select("doc_id", "block_id", "page", "text").distinct()
+    a = Asked(spark, d)
+    w, c = a.candidates("count")
+    b = a.table("ocr_blocks").select("doc_id", "block_id", "page", "text").distinct()
     often = w.filter(F.lower("question").rlike("how many times?")).select("sample_idx")
-    kw = _kw(spark, d, normalize_dashes).join(often, "sample_idx", "left_semi")
+    kw = Rt.keywords(a.table("samples").distinct(), normalize_dashes).join(often, "sample_idx", "left_semi")
     j = Rt.matches(kw, b, "block_id", "text", normalize_dashes).join(b, ["doc_id", "block_id"]).withColumn("t", normalize_dashes(F.col("text")))
     times = j.groupBy("doc_id", "keyword").agg(F.sum((F.length("t") - F.length(F.replace("t", "keyword"))) / F.length("keyword")).cast("bigint").alias("times"))
-    return T.global_count(w, c, kw.join(times, ["doc_id", "keyword"]), _totals(spark, d))
+    return T.global_count(w, c, kw.join(times, ["doc_id", "keyword"]), a.totals)
 
 
 def unit_keyword_topk(spark, d):
-    """Keyword search over captions and related texts: a match in the caption counts in full, one in the related texts three quarters."""
-    u, kw = _u(spark, d), _kw(spark, d)
-    found = Rt.matches(kw, u, "edge_id", "text")
-    named = Rt.matches(kw, u, "edge_id", "caption").withColumn("_c", F.lit(True))
-    strong = found.join(named, ["doc_id", "keyword", "edge_id"], "left").select("doc_id", "keyword", "edge_id", F.when(F.col("_c"), 1.0).otherwise(0.75).alias("strength"))
-    s = Rt.keyword_scores(Rt.idf(kw, found, u, "edge_id"), strong, "edge_id")
-    return Rt.top_k(s, ["sample_idx"], [F.col("score").desc(), F.col("edge_id")], 5).select("sample_idx", "edge_id", F.round("score", 6).alias("score"), "matched", "rank")
+    return Asked(spark, d).search()
 
 
 def unit_text(spark, d):
-    e, n = _en(spark, d)
-    return T.unit_text(_u(spark, d), n, e, caption=True, title=False, related=True).select("doc_id", "edge_id", F.md5("text").alias("text"))
+    a = Asked(spark, d)
+    return T.unit_text(a.units, a.nodes, a.edges, caption=True, title=False, related=True).select("doc_id", "edge_id", F.md5("text").alias("text"))
 
 
 def entity_key(spark, d):
-    f = find_by_id(spark, d).join(_u(spark, d).select("edge_id", "page"), "edge_id")
+    a = Asked(spark, d)
+    f = a.by_id().join(a.units.select("edge_id", "page"), "edge_id")
     reason = F.when(F.col("score") == 1.0, F.concat(F.lit("Matched ID "), "id", F.lit(" in caption")))
     return f.select("sample_idx", "edge_id", T.entity_key(reason, F.col("page")).alias("entity")).distinct()
 
